@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, licenses, quality, rules, simhash
+from gridloom.llm import decontam, licenses, mixing, quality, rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(rules.policy_mask(rules.POLICIES["base-v1"]))) != 0
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_decontamination": op3_decontamination,
+        "op5_source_mix": op5_source_mix,
         "op7_quality_rules": op7_quality_rules,
         "op9_simhash": op9_simhash,
     }
