@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, licenses, mixing, quality, rules, simhash
+from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.swapped_pairs(_table(spark, sf_dir, "conversations")))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -107,11 +115,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_decontamination": op3_decontamination,
+        "op4_url_filter": op4_url_filter,
         "op5_source_mix": op5_source_mix,
         "op7_quality_rules": op7_quality_rules,
         "op9_simhash": op9_simhash,
+        "op10_preference_pairs": op10_preference_pairs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op10_preference_pairs": chat.SQL}
