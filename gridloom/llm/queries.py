@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, urls
+from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +76,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -118,10 +135,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_source_mix": op5_source_mix,
         "op7_quality_rules": op7_quality_rules,
+        "op8_warc_archive": op8_warc_archive,
         "op9_simhash": op9_simhash,
         "op10_preference_pairs": op10_preference_pairs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op10_preference_pairs": chat.SQL}
+    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}
