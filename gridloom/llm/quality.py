@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.plans.durable import durable
+from gridloom.plans.session import bounded_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "bang_share", "pipe_share",
@@ -221,7 +222,7 @@ def held_out(key: Column) -> Column:
 
 def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, x``: one row per input row, materialised once."""
-    return durable(docs.select(F.col(key).alias("doc_id"), features(F.col(text)).alias("x")), "quality-features")
+    return durable(bounded_batches(docs).select(F.col(key).alias("doc_id"), features(F.col(text)).alias("x")), "quality-features")
 
 
 def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> GamModel:
@@ -252,4 +253,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, columns unchanged."""
     model = fit(featurize(docs), labels)
-    return docs.withColumn("__score", model.score_text(F.col("text"))).filter(F.col("__score") >= threshold).drop("__score")
+    return bounded_batches(docs).withColumn("__score", model.score_text(F.col("text"))).filter(F.col("__score") >= threshold).drop("__score")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.plans.session import bounded_batches
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -88,7 +90,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
     One row per input row, no shuffle.  Null and empty texts measure zero and
     so fail ``few_words``; repeated rows stay; other columns aren't read.
     """
-    measured = docs.select(F.col(key), _measures(F.col(text)).alias("m")).select(key, "m.*")
+    measured = bounded_batches(docs).select(F.col(key), _measures(F.col(text)).alias("m")).select(key, "m.*")
     return measured.withColumn("failures", failure_bits(rules))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gridloom.operators.components import connected_components
 from gridloom.plans.durable import durable
+from gridloom.plans.session import bounded_batches
 
 RADIUS = 2
 #: Above so many fingerprints in a segment bucket, its pairs are found another exact way.
@@ -49,7 +50,7 @@ def _fingerprint(text: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``fp`` (signed long), one row per input row, no shuffle."""
-    return docs.select(F.col(key).alias("doc_id"), _fingerprint(F.col(text)).alias("fp"))
+    return bounded_batches(docs).select(F.col(key).alias("doc_id"), _fingerprint(F.col(text)).alias("fp"))
 
 
 def _probes() -> list[tuple[int, int]]:
