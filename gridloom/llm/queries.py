@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, urls, warc
+from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, suffix, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(rules.policy_mask(rules.POLICIES["base-v1"]))) != 0
@@ -134,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_url_filter": op4_url_filter,
         "op5_source_mix": op5_source_mix,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_archive": op8_warc_archive,
         "op9_simhash": op9_simhash,
