@@ -123,3 +123,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     roots = connected_components(links(fps, radius, bucket)).withColumnRenamed("node", "rep")
     placed = durable(fps.join(roots, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-placed")
     return marked.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` a group of near-duplicates, columns unchanged.
+
+    The row with the smallest id stays; of rows that repeat that id, one stays.
+    Rows without an id can't be told apart and stay.
+    """
+    groups = near_duplicates(docs, key, text)
+    kept = durable(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-kept")
+    stays = docs.join(kept, key, "left_semi")
+    unique = stays.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return unique.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
