@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.catalog import REGISTRY
+
+MODULES = ("aggregates", "relational", "rasters")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"gridloom.catalog.{name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return {k: f for k, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
