@@ -11,8 +11,10 @@ look at the suffixes that start at such anchors:
     the right of the anchor and, reversed, to its left: multikey quicksort to a
     shallow depth, blind tries below it.  The common prefixes of neighbours in
     these orders give, window by window, which are equal and which is first.
-3.  A seed with very many different neighbourhoods is resolved window by window
-    through a grouped minimum instead, which splits over tasks.
+3.  The neighbourhoods of a seed that has very many are first cut into blocks of
+    windows, keyed by the bytes that a block's windows share, and equal blocks
+    are collapsed by a grouped minimum; blocks that still crowd under one key are
+    cut into single windows, for which the minimum is the answer.
 
 Nothing but the neighbourhoods of step 2 is shuffled beside anchors, and the
 text once by id.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,8 +39,9 @@ from gridloom.plans.session import bounded_batches
 LENGTH, SEED = 100, 32
 #: Bytes behind the seed that the multikey quicksort compares before blind tries take over.
 SHALLOW = 24
-#: Seeds with more different neighbourhoods are resolved window by window.
+#: Seeds with more different neighbourhoods are cut into blocks of so many windows, then into single ones.
 CROWDED = 2000
+BLOCK = 8
 #: Bytes of text per step of the anchor search, and anchors held before they are collapsed.
 STEP, HELD = 1 << 16, 400_000
 NO_ID = -(1 << 63)
@@ -342,6 +346,34 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[
     )
 
 
+def _field(name: str) -> Column:
+    shift, bits = {"tag": (47, 16), "first": (14, 33), "left": (7, 7), "many": (0, 7)}[name]
+    return F.shiftright("pack", shift).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _extent(length: int) -> list[Column]:
+    """``tag, start, stop`` of the bytes that all windows of an anchor cover."""
+    return [_field("tag").alias("tag"), _field("first").alias("start"), (_field("first") + _field("many") + length - 1).alias("stop")]
+
+
+def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """Neighbourhoods cut into blocks of ``width`` windows, by the windows' distance to the anchor.
+
+    The key of a block is the bytes that all its windows share, so equal
+    windows stay under one key, and neighbourhoods that differ there part.
+    """
+    first, left, many = _field("first"), _field("left"), _field("many")
+    least = left - many + 1
+    cut_ = rows.select("h", "doc", "pack", "near", F.explode(F.sequence(F.floor(least / width), F.floor(left / width))).alias("q"))
+    high, low = F.least(left, F.col("q") * width + width - 1), F.greatest(least, F.col("q") * width)
+    skip, n = left - high, high - low + 1
+    core = F.substring("near", (left - F.col("q") * width + 1).cast("int"), F.lit(length - width + 1))
+    pack = F.shiftleft(_field("tag"), 47).bitwiseOR(F.shiftleft(first + skip, 14)).bitwiseOR(F.shiftleft(high, 7)).bitwiseOR(n)
+    return cut_.select(
+        F.xxhash64("h", "q", core).alias("h"), "doc", pack.alias("pack"), F.substring("near", (skip + 1).cast("int"), (n + length - 1).cast("int")).alias("near")
+    )
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crowded: int = CROWDED) -> DataFrame:
     """``doc, tag, spans``: the byte ranges of ``keyed`` rows that occur earlier; they may overlap.
 
@@ -353,9 +385,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
     found = bounded_batches(rows).filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_sample(length, seed), ANCHOR)
     dealt = found.repartition("h").sortWithinPartitions("h", "kind", "c", "doc", "pack")
     resolved = durable(dealt.mapInArrow(_resolve, "kind byte, h long, doc long, pack long"), "suffix-anchors")
-    tag, first = F.shiftright("pack", 47), F.shiftright("pack", 14).bitwiseAND(F.lit((1 << 33) - 1))
-    many = F.col("pack").bitwiseAND(F.lit(127))
-    whole = resolved.filter("kind = 0").select("doc", tag.alias("tag"), first.alias("start"), (first + many + length - 1).alias("stop"))
+    tag, first, many = _field("tag"), _field("first"), _field("many")
+    whole = resolved.filter("kind = 0").select("doc", *_extent(length))
     open_ = resolved.filter("kind = 1")
     asked = open_.select("doc", tag.alias("tag"), "h", "pack").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
     # One row a text: the texts are dealt out by id once, here and where they are cut.
@@ -364,18 +395,20 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
         .select("h", "doc", "pack", F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (many + length - 1).cast("int")).alias("near"))
     )
     near = durable(near.distinct(), "suffix-near")
-    busy = durable(near.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("h"), "suffix-crowded")
-    spans = whole
-    if busy.isEmpty():
-        calm = near
-    else:
-        calm = near.join(busy, "h", "left_anti").select("h", "doc", "pack", "near")
-        each = near.join(busy, "h", "left_semi").select("doc", tag.alias("tag"), first.alias("first"), "near", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))).alias("k"))
-        each = durable(each.select(F.substring(F.col("near"), F.col("k") + 1, F.lit(length)).alias("window"), F.struct("doc", "tag", (F.col("first") + F.col("k")).alias("start")).alias("at")), "suffix-windows")
-        firsts = durable(each.groupBy("window").agg(F.min("at").alias("one"), F.count("*").alias("n")).filter("n > 1").select("window", "one"), "suffix-firsts")
-        later = each.join(firsts, "window").filter("at > one").select("at.*")
-        spans = spans.union(later.select("doc", "tag", "start", (F.col("start") + length).alias("stop")))
-    sorted_ = calm.repartition("h").sortWithinPartitions("h", "doc", "pack").mapInPandas(_sort_groups(length, seed), "doc long, tag long, start long, stop long")
+    spans, calm, rows = whole, [], near
+    for width in (BLOCK, 1):
+        busy = durable(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("h"), "suffix-crowded")
+        if busy.isEmpty():
+            calm.append(rows)
+            break
+        calm.append(rows.join(busy, "h", "left_anti").select(*rows.columns))
+        pieces = durable(_split(rows.join(busy, "h", "left_semi"), width, length), "suffix-pieces")
+        firsts = durable(pieces.groupBy("h", "near").agg(F.min(F.struct("doc", "pack")).alias("one"), F.count("*").alias("n")), "suffix-firsts")
+        later = pieces.join(firsts.filter("n > 1").select("h", "near", "one"), ["h", "near"]).filter(F.struct("doc", "pack") > F.col("one"))
+        spans = spans.union(later.select("doc", *_extent(length)))
+        rows = firsts.select("h", "one.doc", "one.pack", "near")
+    apart = reduce(lambda a, b: a.unionByName(b), calm)
+    sorted_ = apart.repartition("h").sortWithinPartitions("h", "doc", "pack").mapInPandas(_sort_groups(length, seed), "doc long, tag long, start long, stop long")
     return spans.union(sorted_).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
