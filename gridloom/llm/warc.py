@@ -3,16 +3,18 @@
 Writers number their records by byte offset: the index (file, offset, length,
 url, digest) is their output, so it exists before anything is read.  A read
 takes index rows, sorts them by file and offset, joins neighbouring byte ranges
-and fetches each joined range once.
+and fetches each joined range once.  Each record is a gzip member of its own,
+so that offsets and lengths are those of the compressed file.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import io
+import math
 import uuid
-from collections.abc import Iterator
 from base64 import b32decode, b32encode
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -25,7 +27,10 @@ from gridloom.plans.session import bounded_batches
 #: Smaller payloads are always stored: a revisit record would save nothing.
 LEAST_REVISIT = 1000
 #: Ranges that are at most so far apart are fetched together, up to the most bytes at once.
-GAP, MOST = 64 << 10, 8 << 20
+GAP, MOST = 64 << 10, 4 << 20
+#: Compressed bytes of selected records a task reads, about.
+SPLIT = 32 << 20
+LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
@@ -104,7 +109,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name = f"{base}/{uuid.uuid4().hex}.warc"
+        name = f"{base}/{uuid.uuid4().hex}.warc.gz"
         at = 0
         index: list[pd.DataFrame] = []
         out = None
@@ -116,7 +121,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 payload = text.encode("utf-8", "surrogatepass")
                 digest = hashlib.sha1(payload).hexdigest()
                 page, to = (None if pd.isna(v) else int(v) for v in (page, refers_to))
-                raw = record_bytes(page, link, payload, digest, to, at)
+                raw = gzip.compress(record_bytes(page, link, payload, digest, to, at), LEVEL, mtime=0)
                 out.write(raw)
                 found.append((page, f"{name}", at, len(raw), link, digest, "response" if to is None else "revisit", to))
                 at += len(raw)
@@ -146,17 +151,19 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> lis
     return out
 
 
-def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, most: int = MOST, split: int = 64 << 20) -> DataFrame:
+def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, most: int = MOST, split: int = SPLIT) -> DataFrame:
     """The records of the index rows, fetched by joined byte ranges.
 
     Returns ``page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload``; a stored payload is hashed anew and must have the
-    digest of its header.  Files are read in stretches of ``split`` bytes, so a
-    large file is spread over tasks.
+    digest of its header.  The index is dealt out in ranges of file and offset,
+    as many as the selected bytes need, so a large file is spread over tasks.
     """
     folder = located(folder)
-    chosen = bounded_batches(index).select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / split))
-    sorted_rows = chosen.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    chosen = bounded_batches(index).select("file", "offset", "length")
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / split), min(chosen.select("file").distinct().count(), spark.sparkContext.defaultParallelism))
+    sorted_rows = chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,11 +174,11 @@ def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, mos
                     spots = list(zip(part["offset"].tolist(), part["length"].tolist()))
                     for start, stop, members in ranges(spots, gap, most):
                         source.seek(start)
-                        view = io.BytesIO(source.read(stop - start)).getbuffer()
+                        view = memoryview(source.read(stop - start))
                         found = []
                         for k in members:
                             offset, length = spots[k]
-                            fields, block = parse_record(bytes(view[offset - start : offset - start + length]))
+                            fields, block = parse_record(gzip.decompress(view[offset - start : offset - start + length]))
                             digest = b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                             kind = fields["WARC-Type"]
                             if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
