@@ -289,7 +289,7 @@ def win08(spark, d):
 
 
 @query("win10_parabola", """WITH h AS (SELECT floor(value / 20)::INT AS bin, count(*)::DOUBLE AS n FROM events GROUP BY 1), w AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS l, lead(n) OVER (ORDER BY bin) AS r FROM h)
-  SELECT bin, round(coalesce(CASE WHEN l - 2 * n + r = 0 THEN 0 ELSE least(greatest((l - r) * 0.5 / (l - 2 * n + r), -1), 1) END, 0), 6) AS off FROM w""")
+  SELECT bin, round(CASE WHEN l IS NULL OR r IS NULL OR l - 2 * n + r = 0 THEN 0 ELSE least(greatest((l - r) * 0.5 / (l - 2 * n + r), -1), 1) END, 6) AS off FROM w""")
 def win10(spark, d):
     from pyspark.sql import Window
 

@@ -70,8 +70,8 @@ def hard_stats(df: DataFrame, fitted: DataFrame, value: str, by: Sequence[str])
 
 def parabola_offset(left: Column, mid: Column, right: Column) -> Column:
     """Sub-bin offset of a peak in [-1, 1]; 0 where degenerate."""
-    off = F.try_divide((left - right) * 0.5, left - 2 * mid + right)
-    return F.coalesce(F.least(F.greatest(off, F.lit(-1.0)), F.lit(1.0)), F.lit(0.0))
+    off = F.coalesce(F.try_divide((left - right) * 0.5, left - 2 * mid + right), F.lit(0.0))
+    return F.least(F.greatest(off, F.lit(-1.0)), F.lit(1.0))
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int, low_q: float = 0.01, high_q: float = 0.99) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.catalog import REGISTRY
 
-MODULES = ("aggregates", "relational", "rasters")
+MODULES = ("aggregates", "relational", "rasters", "graphs")
 
 
 def _load() -> None:
@@ -25,3 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
+
+
+def entry_global_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.catalog.graphs import entry_global_table as table
+
+    return table(spark, sf_dir)
