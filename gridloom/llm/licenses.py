@@ -100,14 +100,16 @@ RULES = (
 #: Every known sentence holds one of these, so a text without any has no match.
 HINT = "(?i)licen[sc]e|rights reserved|warranty|liable|permi(ssion|tted)|redistribut|gnu general|unencumbered|copyright"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that ends without a mark and goes on in lower case was wrapped; then sentences end at a mark, a bullet or a line.
+#: A line was wrapped if it ends in a word that needs another, or ends without a mark and goes on in lower case.
+OPEN = r"(^|[^A-Za-z0-9])(a|an|and|any|by|for|in|of|or|that|the|this|to|under|with)[ \t]*\n[ \t]*([A-Za-z])"
+#: Then sentences end at a mark or a line.
 WRAPPED, ENDED, MARKED = r"([a-z0-9,])[ \t]*\n[ \t]*([a-z])", r"([.!?:;][\"')]*)[ \t]+", r"[^a-z0-9]+"
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order, unknown ones left out."""
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(sentences.items()))])
-    unwrapped = F.regexp_replace(text, WRAPPED, "$1 $2")
+    unwrapped = F.regexp_replace(F.regexp_replace(text, OPEN, "$1$2 $3"), WRAPPED, "$1 $2")
     lines = F.split(F.regexp_replace(unwrapped, ENDED, "$1\n"), "\n")
     cleaned = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), MARKED, " ")))
     return F.filter(F.transform(cleaned, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
@@ -144,7 +146,7 @@ def oracle(rules: tuple = RULES, sentences: dict[str, str] = SENTENCES) -> str:
     ended = ENDED.replace("'", "''")
     return rf"""
 WITH lines AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WRAPPED}', '\1 \2', 'g'), '{ended}', '\1' || chr(10), 'g'), chr(10)) AS ls
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{OPEN}', '\1\2 \3', 'g'), '{WRAPPED}', '\1 \2', 'g'), '{ended}', '\1' || chr(10), 'g'), chr(10)) AS ls
   FROM documents
 ), norm AS (
   SELECT doc_id, list_transform(ls, lambda x: trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '{MARKED}', ' ', 'g'))) AS ns FROM lines

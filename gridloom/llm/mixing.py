@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that the sizes add up to ``budget``.
+    """How many documents of each size to take so that the sizes add up to ``budget``, or to the nearest sum.
 
     ``lengths`` are distinct and positive.  All but a few times the largest
     size is spread in proportion to the counts; the rest is a bounded knapsack
@@ -77,22 +77,27 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         carry -= take[k] * s * total
     rest = budget - sum(s * t for s, t in zip(size, take))
     # Bitset knapsack: bit b of reach is set if the leftovers reach b; first[b] is the item that reached it.
-    mask, reach = (1 << (rest + 1)) - 1, 1
+    # It looks past the rest by the largest size, for the nearest sum may lie above.
+    top = rest + int(size[-1])
+    mask, reach = (1 << (top + 1)) - 1, 1
     items: list[tuple[int, int]] = []
-    first = np.full(rest + 1, -1, dtype=np.int64)
+    first = np.full(top + 1, -1, dtype=np.int64)
     for k, (s, c) in enumerate(zip(size, have)):
-        left, step = min(c - take[k], rest // s if s else 0), 1
+        left, step = min(c - take[k], top // s), 1
         while left > 0 and not reach >> rest & 1:
             many = min(step, left)
             new = (reach << int(s * many)) & mask & ~reach
             if new:
-                bits = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))
+                bits = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little"))
                 first[bits] = len(items)
                 reach |= new
             items.append((k, many))
             left -= many
             step *= 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    beyond = reach >> (rest + 1)
+    above = rest + 1 + ((beyond & -beyond).bit_length() - 1) if beyond else None
+    at = below if above is None or rest - below <= above - rest else above
     while at > 0:
         k, many = items[first[at]]
         take[k] += many

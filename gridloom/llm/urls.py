@@ -99,7 +99,8 @@ def bayes(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5)
     """``token, weight`` (log odds of block against allow) and the log odds of the prior.
 
     ``tokens`` has ``host, tokens, n``: the distinct token lists and how many
-    pages have them.  A list that holds a seed word trains as block.
+    pages have them.  A token counts once a page, so that long junk can't drown
+    the rest.  A list that holds a seed word trains as block.
     """
     marked = tokens.withColumn("bad", F.arrays_overlap("tokens", F.array(*[F.lit(s) for s in seeds])))
     each = marked.select("bad", "n", F.explode("tokens").alias("token")).groupBy("token").agg(
@@ -134,7 +135,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS
     )
     path_tokens = F.regexp_extract_all(F.translate("path", UPPER, LOWER), F.lit("[a-z]+"), F.lit(0))
     lists = durable(base.select("host", path_tokens.alias("path_tokens")).groupBy("host", "path_tokens").agg(F.count("*").alias("n")), "url-lists")
-    tokens = durable(lists.join(segmented, "host").select("host", "path_tokens", F.concat("host_tokens", "path_tokens").alias("tokens"), "n"), "url-tokens")
+    tokens = durable(lists.join(segmented, "host").select("host", "path_tokens", F.array_distinct(F.concat("host_tokens", "path_tokens")).alias("tokens"), "n"), "url-tokens")
     weights, prior = bayes(tokens, seeds)
     scored = (
         tokens.select("host", "path_tokens", F.explode("tokens").alias("token")).join(weights, "token")
