@@ -130,7 +130,8 @@ def grf11(spark, d):
 
 def _ring_sql(w: str) -> str:
     return sql(f"""{TWO}, r AS (SELECT two.z, s AS label, sum(w) AS w, sum(w * m) / sum(w) AS mu, sum(w * m * m) / sum(w) AS sq, min(m) AS lo, max(m) AS hi FROM (SELECT two.*, {w} AS w, n.m FROM two JOIN t n ON n.z = two.z AND n.label = two.t) two GROUP BY 1, 2)
-  SELECT t.z, t.label, round(mu, 6) AS ring_mean_m, round(lo, 6) AS ring_min_m, round(hi, 6) AS ring_max_m, round(sqrt(greatest(sq - mu * mu, 0)), 3) AS ring_std_m, round(t.m - mu, 6) AS ring_contrast_m FROM t JOIN r ON r.z = t.z AND r.label = t.label""")
+  SELECT t.z, t.label, round(coalesce(mu, t.m), 6) AS ring_mean_m, round(coalesce(lo, t.m), 6) AS ring_min_m, round(coalesce(hi, t.m), 6) AS ring_max_m,
+  round(coalesce(sqrt(greatest(sq - mu * mu, 0)), 0), 3) AS ring_std_m, round(t.m - coalesce(mu, t.m), 6) AS ring_contrast_m FROM t LEFT JOIN r ON r.z = t.z AND r.label = t.label""")
 
 
 def _ring(spark, d, how):
@@ -153,8 +154,8 @@ def grf12_contact(spark, d):
     return _ring(spark, d, "contact")
 
 
-@query("grf13_hop2", sql(f"""{TWO}, r AS (SELECT two.z, s AS label, avg(m) AS mu FROM two JOIN t n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2)
-  SELECT two.z, s AS label, round(avg(mu), 6) AS hop2_mean_m FROM two JOIN r n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2"""))
+@query("grf13_hop2", sql(f"""{TWO}, r AS (SELECT t.z, t.label, coalesce(avg(n.m), any_value(t.m)) AS mu FROM t LEFT JOIN two ON two.z = t.z AND two.s = t.label LEFT JOIN t n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2)
+  SELECT t.z, t.label, round(coalesce(avg(n.mu), any_value(o.mu)), 6) AS hop2_mean_m FROM t JOIN r o ON o.z = t.z AND o.label = t.label LEFT JOIN two ON two.z = t.z AND two.s = t.label LEFT JOIN r n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2"""))
 def grf13(spark, d):
     return rounded(graph.hop2(_table(spark, d), views.arcs(spark, d), ["m"]).select("z", "label", "hop2_mean_m"))
 
@@ -164,8 +165,8 @@ def grf14(spark, d):
     return rounded(graph.slice_context(_table(spark, d), ["m"], area=True).select("z", "label", "slice_mean_m", "slice_contrast_m"))
 
 
-@query("grf15_class_fractions", sql(f"""{TWO} SELECT two.z, s AS label, round(count(*) FILTER (class = 1) / count(*), 6) AS frac_c1, round(count(*) FILTER (class = 2) / count(*), 6) AS frac_c2, round(count(*) FILTER (class = 3) / count(*), 6) AS frac_c3,
-  round(count(*) FILTER (class = 4) / count(*), 6) AS frac_c4, round(count(*) FILTER (class > 0) / count(*), 6) AS frac_any FROM two JOIN t n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2"""))
+@query("grf15_class_fractions", sql(f"""{TWO} SELECT t.z, t.label, round(coalesce(count(*) FILTER (n.class = 1) / nullif(count(n.class), 0), 0), 6) AS frac_c1, round(coalesce(count(*) FILTER (n.class = 2) / nullif(count(n.class), 0), 0), 6) AS frac_c2, round(coalesce(count(*) FILTER (n.class = 3) / nullif(count(n.class), 0), 0), 6) AS frac_c3, round(coalesce(count(*) FILTER (n.class = 4) / nullif(count(n.class), 0), 0), 6) AS frac_c4, round(coalesce(count(*) FILTER (n.class > 0) / nullif(count(n.class), 0), 0), 6) AS frac_any
+  FROM t LEFT JOIN two ON two.z = t.z AND two.s = t.label LEFT JOIN t n ON n.z = two.z AND n.label = two.t GROUP BY 1, 2"""))
 def grf15(spark, d):
     return rounded(graph.class_fractions(_table(spark, d), views.arcs(spark, d)).drop("area", "m", "class"))
 
@@ -209,7 +210,7 @@ def grf20_off(spark, d):
     return graph.vote(p, views.arcs(spark, d).withColumn("p_diff", F.lit(0.5)), 2, strength=0.0)
 
 
-@query("grf37_boundary_score", sql("""two AS (SELECT z, a AS s, length FROM arcs UNION ALL SELECT z, b, length FROM arcs) SELECT z, s AS label, round(avg(length / 16.0), 6) AS boundary FROM two GROUP BY 1, 2"""))
+@query("grf37_boundary_score", sql("""two AS (SELECT z, a AS s, length FROM arcs UNION ALL SELECT z, b, length FROM arcs) SELECT r.z, r.label, round(coalesce(avg(two.length / 16.0), 0), 6) AS boundary FROM regions r LEFT JOIN two ON two.z = r.z AND two.s = r.label GROUP BY 1, 2"""))
 def grf37(spark, d):
     arcs = views.arcs(spark, d).withColumn("p_diff", F.col("length") / 16.0)
     return rounded(graph.boundary_scores(_table(spark, d), arcs).select("z", "label", "boundary"))

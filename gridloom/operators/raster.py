@@ -2,7 +2,8 @@
 
 Separable kernels read a row or a column of the raster through one range
 window, so a pass is one shuffle by row and many kernels share it.  Cells that
-are absent, as beyond the border, count as the value at the centre.
+are absent, as beyond the border, count as the value at the centre.  A raster
+is complete: a pass along columns can't see past a cell that a row lacks.
 """
 
 from __future__ import annotations

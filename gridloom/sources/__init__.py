@@ -1 +1 @@
-
+"""Readers and writers of rasters, tables and documents."""
