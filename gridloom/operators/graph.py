@@ -309,3 +309,29 @@ def bhattacharyya(mean_a: Column, std_a: Column, mean_b: Column, std_b: Column,
 def tile_grid(width: int, height: int, side: int) -> list[tuple[int, int, int, int]]:
     """Boxes ``y0, y1, x0, x1`` that cover an image, clamped to it."""
     return [(y, min(y + side, height), x, min(x + side, width)) for y in range(0, height, side) for x in range(0, width, side)]
+
+
+def distance_weights(arcs: DataFrame, table: DataFrame, column: str, seed: int, by: Sequence[str] = ("z",)) -> DataFrame:
+    """``chain`` (ends apart), ``barrier`` (saddle) and ``anchor`` (farther end from the seed) per arc."""
+    ends = attach(arcs, table, [column], by)
+    start = table.filter(F.col("label") == seed).select(*by, F.col(column).alias("__s"))
+    apart = lambda x, y: F.abs(F.col(x) - F.col(y))
+    return ends.join(start, list(by)).select(
+        *arcs.columns, apart(f"{column}_a", f"{column}_b").alias("chain"), F.col("saddle").alias("barrier"), F.greatest(apart(f"{column}_a", "__s"), apart(f"{column}_b", "__s")).alias("anchor")
+    )
+
+
+def nearest_within(asked: DataFrame, points: DataFrame, radius: int, item: str = "z") -> DataFrame:
+    """``item, y, x, label, d2``: nearest point ``py, px`` within the radius, smaller label on ties.
+
+    Both sides meet by tiles of the radius: an asked cell looks into the nine
+    tiles around it, so the join is an equality with a residual test.
+    """
+    tile = lambda c: F.floor(F.col(c) / radius)
+    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    spread = asked.withColumn("__d", F.explode(around)).withColumn("__ty", tile("y") + F.col("__d.dy")).withColumn("__tx", tile("x") + F.col("__d.dx")).drop("__d")
+    placed = points.withColumn("__ty", tile("py")).withColumn("__tx", tile("px"))
+    d2 = (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))
+    met = spread.join(placed, [item, "__ty", "__tx"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    best = met.groupBy(item, "y", "x").agg(F.min(F.struct("d2", "label")).alias("m"))
+    return best.select(item, "y", "x", "m.label", "m.d2")

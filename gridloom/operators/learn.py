@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.ranking import global_rank
+
 
 def labeled_set(table: DataFrame, label: str = "class") -> DataFrame:
     """Rows with a class above 0; raises with fewer than two classes."""
@@ -108,10 +110,9 @@ def cross_validate(rows: DataFrame, columns: Sequence[str], label: str, key: str
 
 def permuted(rows: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
     """``rows`` with one column shuffled by a seeded hash; the places are joined, not collected."""
-    place = Window.orderBy(key)
-    shuffled = Window.orderBy(F.xxhash64(F.lit(seed), key), key)
-    moved = rows.select(F.col(column).alias("__v"), F.row_number().over(shuffled).alias("__i"))
-    return rows.withColumn("__i", F.row_number().over(place)).join(moved, "__i").withColumn(column, F.col("__v")).drop("__i", "__v")
+    placed = global_rank(rows, key, out="__i")
+    moved = global_rank(rows.select(F.col(column).alias("__v"), F.xxhash64(F.lit(seed), key).alias("__h"), F.col(key).alias("__k")), "__h", "__k", out="__i")
+    return placed.join(moved.select("__i", "__v"), "__i").withColumn(column, F.col("__v")).drop("__i", "__v")
 
 
 def stratified_fraction(rows: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:

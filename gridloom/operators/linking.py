@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.operators.raster import label_components
+from gridloom.plans.ranking import global_rank
 
 #: Cross-slice steps (dy, dx) by connectivity.
 STEPS = {
@@ -43,7 +44,7 @@ def assign_global(labelled: DataFrame, connectivity: int = 6) -> DataFrame:
     nodes = labelled.select(node_id().alias("node")).distinct()
     roots = connected_components(links(labelled, connectivity))
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    ids = rooted.select("root").distinct().withColumn("global_id", F.row_number().over(Window.orderBy("root")))
+    ids = global_rank(rooted.select("root").distinct(), "root", out="global_id").withColumn("global_id", F.col("global_id").cast("int"))
     mapped = rooted.join(ids, "root").select("node", "global_id")
     return labelled.withColumn("node", node_id()).join(mapped, "node").drop("node")
 
@@ -78,3 +79,9 @@ def component_nodes(labelled: DataFrame, value: str = "v") -> DataFrame:
         F.count("*").alias("area"), F.sum(value).alias("sum_base"), F.min(value).alias("min_base"), F.max(value).alias("max_base"),
         (F.max("x") - F.min("x") + 1).alias("bbox_w"), (F.max("y") - F.min("y") + 1).alias("bbox_h"),
     )
+
+
+def linkable(sizes: DataFrame, dims: list[str], item: str = "z") -> DataFrame:
+    """``item, next``: neighbouring slices of equal dimensions; others aren't linked."""
+    after = sizes.select((F.col(item) - 1).alias(item), F.col(item).alias("next"), *dims)
+    return sizes.join(after, [item, *dims]).select(item, "next")

@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which may go once the application has ended."""
+    return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
