@@ -172,15 +172,43 @@ def cell_id(z: Column, y: Column, x: Column, side: int = 1 << 20) -> Column:
     return (z.cast("long") * side + y) * side + x
 
 
+def with_runs(df: DataFrame, item: str = "z") -> DataFrame:
+    """Adds ``run``, the id of the first cell of the row's run that a cell is in, and ``run_last``, true at its end."""
+    w = Window.partitionBy(item, "y").orderBy("x")
+    opens = F.coalesce(F.lag("x").over(w) != F.col("x") - 1, F.lit(True))
+    closes = F.coalesce(F.lead("x").over(w) != F.col("x") + 1, F.lit(True))
+    first = F.max(F.when(F.col("__opens"), F.col("x"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__opens", opens).withColumn("run_last", closes).withColumn("run", cell_id(F.col(item), F.col("y"), first)).drop("__opens")
+
+
+def run_edges(runs: DataFrame, diagonal: bool, item: str = "z") -> DataFrame:
+    """``u, v``: runs of neighbouring rows that touch.
+
+    Below one another is a window along the column.  Of the diagonals only
+    those beyond the ends of a run matter: inside it the cell beside is below.
+    """
+    w = Window.partitionBy(item, "x").orderBy("y")
+    above = F.when(F.lag("y").over(w) == F.col("y") - 1, F.lag("run").over(w))
+    edges = runs.select(F.col("run").alias("u"), above.alias("v")).filter("v IS NOT NULL")
+    if diagonal:
+        upper = runs.select(item, (F.col("y") + 1).alias("y"), "x", F.col("run").alias("v"))
+        starts = runs.filter(F.col("run") == cell_id(F.col(item), F.col("y"), F.col("x"))).select(item, "y", (F.col("x") - 1).alias("x"), F.col("run").alias("u"))
+        ends = runs.filter("run_last").select(item, "y", (F.col("x") + 1).alias("x"), F.col("run").alias("u"))
+        edges = edges.union(starts.union(ends).join(upper, [item, "y", "x"]).select("u", "v"))
+    return edges.distinct()
+
+
 def label_components(df: DataFrame, slice_: str = "z", connectivity: int = 4, keep: Sequence[str] = ()) -> DataFrame:
-    """``z, y, x, component`` with ids 1, 2, ... a slice in raster order of their first cell."""
-    pairs = adjacent(df, connectivity == 8, (slice_,))
-    edges = pairs.select(cell_id(F.col(slice_), F.col("y"), F.col("x")).alias("u"), cell_id(F.col(slice_), F.col("ny"), F.col("nx")).alias("v"))
-    roots = connected_components(edges).withColumnRenamed("node", "__id")
-    cells = df.select(slice_, "y", "x", *keep).withColumn("__id", cell_id(F.col(slice_), F.col("y"), F.col("x"))).join(roots, "__id", "left").withColumn("__root", F.coalesce("component", "__id"))
+    """``z, y, x, component`` with ids 1, 2, ... a slice in raster order of their first cell.
+
+    The graph has one node a run of a row, not one a cell.
+    """
+    runs = with_runs(df.select(slice_, "y", "x", *keep), slice_)
+    roots = connected_components(run_edges(runs, connectivity == 8, slice_)).withColumnRenamed("node", "run").withColumnRenamed("component", "__linked")
+    cells = runs.join(roots, "run", "left").withColumn("__root", F.coalesce("__linked", "run"))
     # Numbering needs one row a component, not one a cell.
     ranks = cells.select(slice_, "__root").distinct().withColumn("component", F.row_number().over(Window.partitionBy(slice_).orderBy("__root")))
-    return cells.drop("component").join(ranks, [slice_, "__root"]).select(slice_, "y", "x", *keep, "component")
+    return cells.join(ranks, [slice_, "__root"]).select(slice_, "y", "x", *keep, "component")
 
 
 def halve(df: DataFrame, value: str, by: Sequence[str] = ("z",)) -> DataFrame:
