@@ -14,7 +14,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,11 +128,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` a group of near-duplicates, columns unchanged.
 
-    The row with the smallest id stays; of rows that repeat that id, one stays.
-    Rows without an id can't be told apart and stay.
+    The row with the smallest id stays; of rows that repeat that id, the one
+    with the first text.  Rows without an id can't be told apart and stay.
     """
     groups = near_duplicates(docs, key, text)
     kept = durable(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-kept")
     stays = docs.join(kept, key, "left_semi")
-    unique = stays.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
+    unique = stays.filter(F.col(key).isNotNull()).withColumn("__copy", first).filter("__copy = 1").drop("__copy")
     return unique.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
