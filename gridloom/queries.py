@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.catalog import REGISTRY
 
-MODULES = ("aggregates", "relational", "rasters", "graphs", "models", "more")
+MODULES = ("aggregates", "relational", "rasters", "graphs", "models", "more", "surface")
 
 
 def _load() -> None:

@@ -118,3 +118,32 @@ def read_shards(spark: SparkSession, path: str, factors: Sequence[float] | None
 
 def to_json_document(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
+def write_binaries(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``name, content`` as files below a shared folder; returns ``name, bytes`` of what is there.
+
+    Each file is written under a name of its own and moved into place whole.
+    """
+    import uuid
+    from collections.abc import Iterator
+
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                fs.move(part, f"{base}/{name}")
+            yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
+
+    from gridloom.plans.durable import durable
+
+    return durable(rows.select("name", "content").mapInPandas(put, "name string, bytes long"), "written")
