@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.durable import durable
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII but for digits and lower-case letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
 #: Benchmarks up to so many distinct windows (some 200 bytes each) are broadcast.
 BROADCAST_WINDOWS = 100_000
@@ -23,7 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Split where no word is: extracting all matches copies the text for each of them."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _key(words: Column, at: Column, width: int) -> Column:
