@@ -7,18 +7,18 @@ split the join.  The rounds stop when the edge set is a forest of stars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.plans.durable import durable
 
 
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("h"),
-    ).first()
-    return int(row["n"]), int(row["h"] or 0)
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges on disk, and their number and a sum of hashes that was taken while they were written."""
+    seen = Observation()
+    hashes = F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))
+    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(hashes).alias("h")), label)
+    return out, (int(seen.get["n"]), int(seen.get["h"] or 0))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,18 +43,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     edges are ignored; edges with a null end are ignored.  Nodes without edges
     don't appear: the caller takes the node itself for them.
     """
-    current = durable(
+    current, seen = _written(
         edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
         .filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
         "cc-edges",
     )
-    seen = _digest(current)
     if seen[0]:
         for _ in range(max_rounds):
-            current = durable(_small_star(_large_star(current)), "cc-round")
-            now = _digest(current)
+            current, now = _written(_small_star(_large_star(current)), "cc-round")
             if now == seen:
                 break
             seen = now

@@ -432,3 +432,50 @@ def test_planes_follow_their_rules(spark):
     r = df.select(planes.reduce_planes(F.col("p"), "mean", [2, 0, 0]).alias("m"), planes.hsv(F.lit(0.0), F.lit(0.0), F.lit(0.0), "saturation").alias("s"), planes.two_point(F.lit(5.0), F.lit(2.0), F.lit(2.0)).alias("t")).first()
     assert (r.m, r.s, r.t) == (2.0, 0.0, 5.0)
     assert np.allclose(np.linalg.norm(planes.stain_matrix("he"), axis=1), 1)
+
+
+def test_command_line_runs_a_workflow(spark, tmp_path):
+    import json
+
+    from gridloom.__main__ import main
+
+    pixels(spark, [random_grid(1, 6, 6), random_grid(2, 6, 6)]).write.parquet(str(tmp_path / "px"))
+    (tmp_path / "w.json").write_text(json.dumps({"segmentation": "null", "queries": [{"field": "area", "op": "ge", "value": 1}]}))
+    args = ["--config", str(tmp_path / "w.json"), "--input", str(tmp_path / "px"), "--output", str(tmp_path / "out")]
+    assert main([*args, "--dry-run"]) == 0 and not (tmp_path / "out").exists()
+    assert main(args) == 0
+    got = spark.read.option("header", True).csv(str(tmp_path / "out/features")).collect()
+    assert sum(int(r.voxel_count) for r in got) == 72
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/timing")).count() == 3
+
+
+def test_global_rank_follows_the_order(spark):
+    from gridloom.plans.ranking import global_rank
+
+    df = spark.range(200).selectExpr("(id * 37) % 200 AS k").repartition(7)
+    assert all(r.rank == r.k + 1 for r in global_rank(df, "k").collect())
+    assert global_rank(df.limit(0), "k").count() == 0
+
+
+def test_run_components_match_cells(spark):
+    for seed in range(3):
+        grid = [[1 if v > 12 else None for v in r] for r in random_grid(seed + 70, 10, 10)]
+        cells = {(y, x) for y, r in enumerate(grid) for x, v in enumerate(r) if v}
+        for connectivity in (4, 8):
+            near = (lambda a, b: abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1) if connectivity == 4 else (lambda a, b: max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1)
+            want = twin_components([(a, b) for a in cells for b in cells if near(a, b)], cells)
+            order = {root: k + 1 for k, root in enumerate(sorted(set(want.values())))}
+            got = {(r.y, r.x): r.component for r in raster.label_components(pixels(spark, [grid]), "z", connectivity).collect()}
+            assert got == {c: order[want[c]] for c in cells}
+
+
+def test_context_names_and_order(spark):
+    from gridloom.operators import context
+
+    t = spark.createDataFrame([(0, k, 1, float(k), 2.0) for k in range(4)], "z int, label int, area int, mean_a double, ext_b double")
+    arcs = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 2, 1)], "z int, a int, b int, length int")
+    out = context.augment(t, arcs, ["ring_mean", "slice_mean"], how=("uniform", "area"), sources=["mean_a"])
+    assert out.columns[5:] == ["ring_mean__mean_a", "ring_mean[area]__mean_a", "slice_mean__mean_a", "slice_mean[area]__mean_a"]
+    assert context.augment(t, arcs, []) is t and context.sources_of(t, "ext") == ["ext_b"]
+    with pytest.raises(ValueError):
+        context.augment(t, arcs, ["nonsense"])
