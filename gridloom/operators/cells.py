@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.durable import durable
+from gridloom.plans.relax import relax
+
 #: Bits of the voxel flags.
 INSIDE, MEMBRANE, RIDGE, BACKGROUND = 1, 2, 4, 8
 
@@ -38,15 +41,11 @@ def cell_table(flagged: DataFrame, cell: str = "cell") -> DataFrame:
 
 def nearest_source(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """``node, owner, cost``: multi-source shortest paths over ``a, b, w``; ties to the smaller owner."""
-    from gridloom.plans.durable import durable
-
     used = durable(arcs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(arcs.select("b", "a", "w")), "dijkstra-arcs")
-    best = durable(sources.select("node", F.struct(F.lit(0.0).alias("cost"), F.col("node").alias("owner")).alias("k")), "dijkstra")
-    front = best
-    for _ in range(most_rounds):
-        offered = front.select(F.col("node").alias("src"), "k").join(used, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("k.cost") + F.col("w")).alias("cost"), F.col("k.owner").alias("owner"))).alias("k"))
-        front = durable(offered.alias("o").join(best.alias("b"), "node", "left").filter(F.col("b.k").isNull() | (F.col("o.k") < F.col("b.k"))).select("node", "o.k"), "dijkstra-front")
-        if front.isEmpty():
-            break
-        best = durable(best.unionByName(front).groupBy("node").agg(F.min("k").alias("k")), "dijkstra")
-    return best.select("node", "k.owner", "k.cost")
+
+    def offer(front: DataFrame) -> DataFrame:
+        met = front.select(F.col("node").alias("src"), "k").join(used, "src")
+        return met.select(F.col("dst").alias("node"), F.struct((F.col("k.cost") + F.col("w")).alias("cost"), F.col("k.owner").alias("owner")).alias("k"))
+
+    start = sources.select("node", F.struct(F.lit(0.0).alias("cost"), F.col("node").alias("owner")).alias("k"))
+    return relax(start, ["node"], "k", offer, "dijkstra", most_rounds).select("node", "k.owner", "k.cost")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.raster import AXES
 from gridloom.plans.durable import durable
+from gridloom.plans.relax import relax
 
 
 def label_pairs(pixels: DataFrame, item: str, label: str, value: str) -> DataFrame:
@@ -58,17 +59,13 @@ def attach(arcs: DataFrame, table: DataFrame, columns: Sequence[str], by: Sequen
 
 def reachable(arcs: DataFrame, seeds: DataFrame, least: float | None = None, by: Sequence[str] = ("z",), weight: str = "saddle", most_rounds: int = 10_000) -> DataFrame:
     """``by, node, hops`` from ``seeds(by, node)`` over arcs of at least the weight."""
-    used = both_ways(arcs if least is None else arcs.filter(F.col(weight) >= least), by)
-    used = durable(used.distinct(), "reach-arcs")
-    seen = durable(seeds.select(*by, "node").distinct().withColumn("hops", F.lit(0)), "reach")
-    front = seen
-    for hop in range(1, most_rounds + 1):
-        step = front.select(*by, F.col("node").alias("src")).join(used, [*by, "src"]).select(*by, F.col("dst").alias("node")).distinct()
-        front = durable(step.join(seen, [*by, "node"], "left_anti").withColumn("hops", F.lit(hop)), "reach-front")
-        if front.isEmpty():
-            break
-        seen = durable(seen.unionByName(front), "reach")
-    return seen
+    used = durable(both_ways(arcs if least is None else arcs.filter(F.col(weight) >= least), by).distinct(), "reach-arcs")
+
+    def offer(front: DataFrame) -> DataFrame:
+        met = front.select(*by, F.col("node").alias("src"), "hops").join(used, [*by, "src"])
+        return met.select(*by, F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"))
+
+    return relax(seeds.select(*by, "node", F.lit(0).alias("hops")), [*by, "node"], "hops", offer, "reach", most_rounds)
 
 
 def join_costs(arcs: DataFrame, seeds: DataFrame, by: Sequence[str] = ("z",), weight: str = "saddle", gain: float = 1.0, most_rounds: int = 10_000) -> DataFrame:
@@ -78,18 +75,13 @@ def join_costs(arcs: DataFrame, seeds: DataFrame, by: Sequence[str] = ("z",), we
     Unreached nodes don't appear.
     """
     used = durable(both_ways(arcs, by, weight).groupBy(*by, "src", "dst").agg(F.min(weight).alias("w")), "cost-arcs")
-    best = durable(seeds.select(*by, "node").distinct().withColumn("cost", F.lit(float("-inf"))), "cost")
-    front = best
-    for _ in range(most_rounds):
+
+    def offer(front: DataFrame) -> DataFrame:
+        met = front.select(*by, F.col("node").alias("src"), "cost").join(used, [*by, "src"])
         hop = F.greatest("cost", F.col("w").cast("double"))
-        step = front.select(*by, F.col("node").alias("src"), "cost").join(used, [*by, "src"]).select(*by, F.col("dst").alias("node"), (hop * gain if gain != 1.0 else hop).alias("cost"))
-        offered = step.groupBy(*by, "node").agg(F.min("cost").alias("cost"))
-        better = offered.alias("o").join(best.alias("b"), [*by, "node"], "left").filter(F.col("b.cost").isNull() | (F.col("o.cost") < F.col("b.cost"))).select(*by, "node", "o.cost")
-        front = durable(better, "cost-front")
-        if front.isEmpty():
-            break
-        best = durable(best.unionByName(front).groupBy(*by, "node").agg(F.min("cost").alias("cost")), "cost")
-    return best
+        return met.select(*by, F.col("dst").alias("node"), (hop * gain if gain != 1.0 else hop).alias("cost"))
+
+    return relax(seeds.select(*by, "node", F.lit(float("-inf")).alias("cost")), [*by, "node"], "cost", offer, "cost", most_rounds)
 
 
 def flood_order(costs: DataFrame, by: Sequence[str] = ("z",), secondary: str = "node") -> DataFrame:

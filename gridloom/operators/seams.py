@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.operators.raster import AXES
+from gridloom.plans.durable import durable
+from gridloom.plans.relax import relax
 
 
 def cracks(pixels: DataFrame, width: int, label: str = "label", item: str = "z") -> DataFrame:
@@ -105,17 +107,11 @@ def junction_seams(table: DataFrame, item: str = "z") -> DataFrame:
 
 def cheapest_paths(tolled: DataFrame, seeds: DataFrame, item: str = "z", most_rounds: int = 10_000) -> DataFrame:
     """``item, node, cost``: least toll from the seed junctions along seams, relaxed to a fixpoint."""
-    from gridloom.plans.durable import durable
-
     open_ = tolled.filter("NOT closed").groupBy(item, "j0", "j1").agg(F.min("toll").alias("toll"))
     used = durable(open_.select(item, F.col("j0").alias("src"), F.col("j1").alias("dst"), "toll").union(open_.select(item, "j1", "j0", "toll")), "path-arcs")
-    best = durable(seeds.select(item, "node").withColumn("cost", F.lit(0.0)), "path")
-    front = best
-    for _ in range(most_rounds):
-        offered = front.select(item, F.col("node").alias("src"), "cost").join(used, [item, "src"]).groupBy(item, F.col("dst").alias("node")).agg(F.min(F.round(F.col("cost") + F.col("toll"), 9)).alias("cost"))
-        better = offered.alias("o").join(best.alias("b"), [item, "node"], "left").filter(F.col("b.cost").isNull() | (F.col("o.cost") < F.col("b.cost"))).select(item, "node", "o.cost")
-        front = durable(better, "path-front")
-        if front.isEmpty():
-            break
-        best = durable(best.unionByName(front).groupBy(item, "node").agg(F.min("cost").alias("cost")), "path")
-    return best
+
+    def offer(front: DataFrame) -> DataFrame:
+        met = front.select(item, F.col("node").alias("src"), "cost").join(used, [item, "src"])
+        return met.select(item, F.col("dst").alias("node"), F.round(F.col("cost") + F.col("toll"), 9).alias("cost"))
+
+    return relax(seeds.select(item, "node", F.lit(0.0).alias("cost")), [item, "node"], "cost", offer, "path", most_rounds)

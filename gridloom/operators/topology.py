@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.graph import label_pairs
 from gridloom.operators.raster import cell_id, neighbours
 from gridloom.plans.durable import durable
+from gridloom.plans.relax import relax
 
 SIDE = 1 << 20
 
@@ -150,17 +151,13 @@ def absorb(seeds: DataFrame, arcs: DataFrame, item: str = "z", most_rounds: int
     from gridloom.operators.graph import both_ways
 
     used = durable(both_ways(arcs, (item,), "saddle"), "absorb-arcs")
-    best = durable(seeds.select(item, "node", F.struct(F.lit(float("-inf")).alias("cost"), F.col("node").alias("owner")).alias("k")), "absorb")
-    front = best
-    for _ in range(most_rounds):
-        step = front.select(item, F.col("node").alias("src"), "k").join(used, [item, "src"])
-        offered = step.groupBy(item, F.col("dst").alias("node")).agg(F.min(F.struct(F.greatest("k.cost", F.col("saddle").cast("double")).alias("cost"), F.col("k.owner").alias("owner"))).alias("k"))
-        better = offered.alias("o").join(best.alias("b"), [item, "node"], "left").filter(F.col("b.k").isNull() | (F.col("o.k") < F.col("b.k"))).select(item, "node", "o.k")
-        front = durable(better, "absorb-front")
-        if front.isEmpty():
-            break
-        best = durable(best.unionByName(front).groupBy(item, "node").agg(F.min("k").alias("k")), "absorb")
-    return best.select(item, "node", "k.owner", "k.cost")
+
+    def offer(front: DataFrame) -> DataFrame:
+        met = front.select(item, F.col("node").alias("src"), "k").join(used, [item, "src"])
+        return met.select(item, F.col("dst").alias("node"), F.struct(F.greatest("k.cost", F.col("saddle").cast("double")).alias("cost"), F.col("k.owner").alias("owner")).alias("k"))
+
+    start = seeds.select(item, "node", F.struct(F.lit(float("-inf")).alias("cost"), F.col("node").alias("owner")).alias("k"))
+    return relax(start, [item, "node"], "k", offer, "absorb", most_rounds).select(item, "node", "k.owner", "k.cost")
 
 
 def tree_document(deaths: DataFrame, table: DataFrame, item: str = "z") -> DataFrame:
