@@ -11,6 +11,7 @@ never inputs.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,11 +44,9 @@ def text_features(text: str | None) -> np.ndarray:
     m = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     k = max(1, len(lines))
-    distinct = set(words)
+    counts = Counter(words)
     letters = max(1, int(each[65:91].sum() + each[97:123].sum() + each[128:].sum()))
     pairs = list(zip(words, words[1:]))
-    some = words[:: max(1, m // 2000)]
-    top = max(map(some.count, set(some[:64]))) / len(some) if some else 0.0
     out[:] = (
         np.log1p(n),
         np.log1p(len(words)),
@@ -60,8 +59,8 @@ def text_features(text: str | None) -> np.ndarray:
         each[46] / m,
         len(words) / k,
         1 - len(set(lines)) / k,
-        len(distinct) / m,
-        top,
+        len(counts) / m,
+        max(counts.values(), default=0) / m,
         each[128:].sum() / n,
         each[list(b",;:'\"()-?")].sum() / m,
         1 - len(set(pairs)) / max(1, len(pairs)),
@@ -253,4 +252,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, columns unchanged."""
     model = fit(featurize(docs), labels)
-    return bounded_batches(docs).withColumn("__score", model.score_text(F.col("text"))).filter(F.col("__score") >= threshold).drop("__score")
+    return bounded_batches(docs).filter(model.score_text(F.col("text")) >= threshold)

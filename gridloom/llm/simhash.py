@@ -135,5 +135,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept = durable(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-kept")
     stays = docs.join(kept, key, "left_semi")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
-    unique = stays.filter(F.col(key).isNotNull()).withColumn("__copy", first).filter("__copy = 1").drop("__copy")
-    return unique.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
+    name = "__copy" + "_" * max(map(len, docs.columns))
+    unique = stays.filter(F.col(key).isNotNull()).withColumn(name, first).filter(F.col(name) == 1)
+    return unique.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))

@@ -42,12 +42,12 @@ def located(folder: str) -> str:
     return f"file://{folder.removeprefix('file:')}"
 
 
-def decide(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, url, digest, payload_bytes, refers_to`` without the payload.
+def decide(pages: DataFrame, key: str = "page_id", body: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+    """``page_id, digest, refers_to`` of the pages that are stored as a reference.
 
     Of equal payloads of ``least`` bytes or more the largest id is stored and
-    the others refer to it.  Rows without an id are stored each.  Null payloads
-    are empty.
+    the others refer to it.  Rows without an id are stored each, and so are
+    rows that repeat the largest one.  Null payloads are empty.
     """
     payload = F.coalesce(F.col(body), F.lit(""))
     slim = durable(
@@ -59,7 +59,7 @@ def decide(pages: DataFrame, key: str = "page_id", url: str = "url", body: str =
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").select("digest", "kept")
     )
     twin = slim.filter("page_id IS NOT NULL").join(stored, "digest").filter("page_id <> kept")
-    return twin.select("page_id", F.col("kept").alias("refers_to")).distinct()
+    return twin.select("page_id", "digest", F.col("kept").alias("refers_to")).distinct()
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, ordinal: int) -> bytes:
@@ -102,9 +102,10 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     names only files of attempts that ended.
     """
     folder = located(folder)
-    refers = decide(pages, key, url, body, least)
+    refers = decide(pages, key, body, least)
     rows = bounded_batches(pages).select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(body), F.lit("")).alias("body"))
-    marked = rows.join(refers, "page_id", "left").select("page_id", "url", "body", "refers_to")
+    rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary")))
+    marked = rows.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "body", "digest", "refers_to")
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -117,9 +118,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             if out is None:
                 out = fs.open_output_stream(f"{name}.part")
             found = []
-            for page, link, text, refers_to in zip(pdf["page_id"], pdf["url"], pdf["body"], pdf["refers_to"]):
+            for page, link, text, digest, refers_to in zip(*(pdf[c] for c in ("page_id", "url", "body", "digest", "refers_to"))):
                 payload = text.encode("utf-8", "surrogatepass")
-                digest = hashlib.sha1(payload).hexdigest()
                 page, to = (None if pd.isna(v) else int(v) for v in (page, refers_to))
                 raw = gzip.compress(record_bytes(page, link, payload, digest, to, at), LEVEL, mtime=0)
                 out.write(raw)

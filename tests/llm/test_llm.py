@@ -27,7 +27,7 @@ def prose(r, n):
 
 def clashing(df):
     """Extra columns with the names that the operators use inside."""
-    for name in ("fp", "rep", "component_id", "kept", "failures", "size", "taken", "spans", "x", "y", "h", "doc", "tag", "rid", "score", "start"):
+    for name in ("fp", "rep", "component_id", "kept", "failures", "size", "taken", "spans", "x", "y", "h", "doc", "tag", "rid", "score", "start", "__score", "__copy", "__text"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -329,6 +329,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_and_read(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_pages_that_share_an_id_keep_their_own_payloads(spark, tmp_path):
+    big, other = "big " * 400, "other " * 400
+    df = spark.createDataFrame([(5, "a", big), (5, "b", other), (9, "c", big), (9, "c", big)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, len(r.payload)) for r in warc.archive_and_read(df, str(tmp_path / "w")).collect())
+    assert got == [(5, "response", 2400, 2400), (5, "revisit", 1600, 0), (9, "response", 1600, 1600), (9, "response", 1600, 1600)]
+
+
 def test_ranges_are_joined_within_bounds():
     assert warc.ranges([(0, 10), (12, 5), (100, 5), (105, 500)], gap=4, most=50) == [(0, 17, [0, 1]), (100, 105, [2]), (105, 605, [3])]
     with pytest.raises(ValueError):
