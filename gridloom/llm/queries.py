@@ -92,6 +92,30 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM w) WHERE r > 1
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit)
+), spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans
+), kept AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -147,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}
+    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}
