@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontam, mixing, quality, simhash, suffix
+from gridloom.llm import decontam, mixing, nearcopies, quality, suffix
 from gridloom.plans.durable import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard of 0.8 or more): that with the smallest id."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

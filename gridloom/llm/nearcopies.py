@@ -1,0 +1,136 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, shingle sets decide.
+
+Two texts with a share of 0.8 of their shingles agree in one of ``BANDS`` bands
+of ``ROWS`` minima with a probability of 0.9999.  Candidates are verified by
+their sets of 64-bit shingle hashes.  Work starts from the distinct sets, so
+copies meet no one.  Rows are told apart by an id that is written with them:
+what a row's ``doc_id`` is, or whether it has one, only orders the rows.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.operators.components import connected_components
+from gridloom.plans.durable import durable
+from gridloom.plans.session import bounded_batches
+
+WIDTH, SIMILAR = 5, 0.8
+BANDS, ROWS = 24, 5
+#: Above so many sets in a bucket, all are compared with up to LEADERS of them a round; after ROUNDS, what is left in all pairs.
+BUCKET, LEADERS, ROUNDS = 32, 8, 8
+
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Ascending distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if len(words) < width:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(0)), dtype=np.uint64, count=len(shingles)))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One signed key a band; none without shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, (_ODD[:, None] * shingles[None, at : at + (1 << 12)]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+_MARK = T.StructType([T.StructField("whole", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_MARK)
+def _mark(text: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(x) for x in text]
+    return pd.DataFrame({"whole": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "keys": [band_keys(s) for s in sets]})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _set(text: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(x).view(np.int64) for x in text], dtype="object")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets are similar enough."""
+    a = sets.select(F.col("rid").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("rid").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    # A set that is too small for the other can't be similar, so it isn't intersected.
+    able = F.least(F.size("a"), F.size("b")) >= similar * F.greatest(F.size("a"), F.size("b"))
+    return pairs.join(a, "u").join(b, "v").filter(able).filter(both >= similar * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _in_pairs(keys: DataFrame) -> DataFrame:
+    u, v = keys.select("key", F.col("rid").alias("u")), keys.select("key", F.col("rid").alias("v"))
+    return u.join(v, "key").filter("u < v").select("u", "v").distinct()
+
+
+def links(keys: DataFrame, sets: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """Verified edges ``(u, v)`` between rows that share a key.
+
+    ``keys`` has ``key, rid, pref`` (distinct, ``pref`` orders the rows), ``sets`` has
+    ``rid, shingles``.  Buckets of up to ``bucket`` rows are compared in pairs.
+    In larger ones all rows are compared with a few leaders, and leave once
+    they are linked to one that precedes them: of two similar rows, at most one
+    is then the first of its component, and no bucket is squared.
+    """
+    found, rest = None, keys
+    for _ in range(ROUNDS):
+        sizes = durable(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
+        near = _verified(_in_pairs(rest.join(sizes.filter(F.col("n") <= bucket), "key", "left_semi")), sets, similar)
+        found = near if found is None else found.union(near)
+        crowded = sizes.filter(F.col("n") > bucket).select("key")
+        if crowded.isEmpty():
+            return found
+        rest = rest.join(crowded, "key", "left_semi")
+        # The first row of a bucket leads one of the parts, so every round takes it out.
+        leaders = durable(rest.groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(LEADERS)).alias("part")).agg(F.min("pref").alias("lead")).drop("part"), "near-leaders")
+        met = rest.join(leaders, "key").filter("rid <> lead.rid").select(F.col("lead.rid").alias("u"), F.col("rid").alias("v"), (F.col("lead") < F.col("pref")).alias("later")).distinct()
+        linked = durable(_verified(met.select("u", "v"), sets, similar).join(met, ["u", "v"]), "near-linked")
+        found = found.union(linked.select("u", "v"))
+        gone = (
+            rest.join(leaders, "key").select("key", "rid", F.col("lead.rid").alias("u")).join(linked.filter("later").select("u", F.col("v").alias("rid")), ["u", "rid"]).select("key", "rid")
+            .union(leaders.select("key", "lead.rid")).distinct()
+        )
+        rest = durable(rest.join(gone, ["key", "rid"], "left_anti").select("key", "rid", "pref"), "near-rest")
+    return found.union(_verified(_in_pairs(rest), sets, similar))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` a group of near copies, columns unchanged.
+
+    Groups are the components of the links; the row with the smallest id stays,
+    rows without an id come last, and of rows that agree in it any one stays.
+    Texts without words are one group.
+    """
+    rid = "__rid" + "_" * max(map(len, docs.columns))
+    rows = durable(docs.withColumn(rid, F.monotonically_increasing_id()), "near-rows")
+    pref = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(rid).alias("rid"))
+    marks = durable(bounded_batches(rows).select(pref.alias("pref"), _mark(F.col(text)).alias("m")).select("pref", "m.*"), "near-marks")
+    firsts = durable(marks.groupBy("whole").agg(F.min("pref").alias("pref"), F.first("keys").alias("keys")), "near-firsts")
+    exploded = durable(firsts.select("pref", "pref.rid", F.explode(F.array_distinct("keys")).alias("key")), "near-keys")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keys = durable(exploded.join(shared, "key", "left_semi").select("key", "rid", "pref"), "near-shared")
+    asked = keys.select("rid").distinct()
+    texts = rows.select(F.col(rid).alias("rid"), F.col(text).alias("text")).join(asked, "rid", "left_semi")
+    sets = durable(bounded_batches(texts).select("rid", _set(F.col("text")).alias("shingles")), "near-sets")
+    edges = durable(links(keys, sets, similar, bucket), "near-links")
+    groups = connected_components(edges)
+    placed = firsts.join(groups, firsts["pref.rid"] == groups["node"], "left").select("whole", "pref", F.coalesce("component", "pref.rid").alias("component"))
+    kept = durable(placed.groupBy("component").agg(F.min("pref").alias("pref")).select(F.col("pref.rid").alias(rid)), "near-kept")
+    return rows.join(kept, rid, "left_semi").select(*docs.columns)
