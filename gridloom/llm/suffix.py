@@ -45,7 +45,7 @@ BLOCK = 8
 #: Bytes of text per step of the anchor search, and anchors held before they are collapsed.
 STEP, HELD = 1 << 16, 400_000
 NO_ID = -(1 << 63)
-ANCHOR = "kind byte, h long, c long, doc long, pack long"
+ANCHOR = "kind byte, h long, c long, doc long, tag long, pack long"
 
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -98,22 +98,22 @@ def anchors(raw: bytes, length: int = LENGTH, seed: int = SEED) -> Iterator[tupl
         at = stop - length + 1
 
 
-def _packed(tag: int, first: np.ndarray, left: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Bits 47-62 tag, 14-46 first window, 7-13 bytes to the anchor, 0-6 windows."""
-    return (tag << 47) | (first << 14) | (left << 7) | many
+def _packed(first: np.ndarray, left: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Bits 14-62 first window, 7-13 bytes to the anchor, 0-6 windows."""
+    return (first << 14) | (left << 7) | many
 
 
-def _collapse(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+def _collapse(h: np.ndarray, c: np.ndarray, doc: np.ndarray, tag: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
     """Marks (kind 0) all but the first of each neighbourhood; their key spreads them."""
-    order = np.lexsort((pack, doc, c, h))
-    h, c, doc, pack = h[order], c[order], doc[order], pack[order]
+    order = np.lexsort((pack, tag, doc, c, h))
+    h, c, doc, tag, pack = h[order], c[order], doc[order], tag[order], pack[order]
     same = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-    repeat = same & ((doc != doc[head]) | (pack != pack[head]))
-    spread = _mix((doc.view(np.uint64) * _U(31)) ^ pack.view(np.uint64)).view(np.int64)
+    repeat = same & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
+    spread = _mix(((doc ^ tag).view(np.uint64) * _U(31)) ^ pack.view(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array((~repeat).astype(np.int8)), pa.array(np.where(repeat, spread, h)), pa.array(np.where(repeat, 0, c)), pa.array(doc), pa.array(pack)],
-        names=["kind", "h", "c", "doc", "pack"],
+        [pa.array((~repeat).astype(np.int8)), pa.array(np.where(repeat, spread, h)), pa.array(np.where(repeat, 0, c)), pa.array(doc), pa.array(tag), pa.array(pack)],
+        names=["kind", "h", "c", "doc", "tag", "pack"],
     )
 
 
@@ -125,7 +125,7 @@ def _sample(length: int, seed: int):
             for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"]):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for h, c, first, left, many in anchors(raw, length, seed):
-                    held.append((h, c, np.full(len(h), doc, np.int64), _packed(tag, first, left, many)))
+                    held.append((h, c, np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int64), _packed(first, left, many)))
                     n += len(h)
                 if n >= HELD:
                     yield _collapse(*(np.concatenate(x) for x in zip(*held)))
@@ -142,32 +142,32 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows stream through; of what came before only the first row of the current
     neighbourhood is kept, however many rows a key has.
     """
-    keep: tuple[int, int, int, int, bool, bool] | None = None  # h, c, doc, pack, sent, key has several
+    keep: tuple[int, int, int, int, int, bool, bool] | None = None  # h, c, doc, tag, pack, sent, key has several
     for batch in batches:
-        kind, h, c, doc, pack = (batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "h", "c", "doc", "pack"))
+        kind, h, c, doc, tag, pack = (batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "h", "c", "doc", "tag", "pack"))
         done = kind == 0
-        out = [(np.zeros(int(done.sum()), np.int8), h[done], doc[done], pack[done])]
-        h, c, doc, pack = h[~done], c[~done], doc[~done], pack[~done]
+        out = [(np.zeros(int(done.sum()), np.int8), h[done], doc[done], tag[done], pack[done])]
+        h, c, doc, tag, pack = h[~done], c[~done], doc[~done], tag[~done], pack[~done]
         if len(h):
             if keep is not None:
-                h, c, doc, pack = (np.concatenate(([k], x)) for k, x in zip(keep[:4], (h, c, doc, pack)))
+                h, c, doc, tag, pack = (np.concatenate(([k], x)) for k, x in zip(keep[:5], (h, c, doc, tag, pack)))
             new_h = np.concatenate(([True], h[1:] != h[:-1]))
             new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
             head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
             group = np.cumsum(new_h) - 1
             several = np.bincount(group, new_c) > 1
-            if keep is not None and keep[5]:
+            if keep is not None and keep[6]:
                 several[0] = True
             send = new_c & several[group]
-            if keep is not None and keep[4]:
+            if keep is not None and keep[5]:
                 send[0] = False
-            again = ~new_c & ((doc != doc[head]) | (pack != pack[head]))
+            again = ~new_c & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
             for rows, mark in ((again, 0), (send, 1)):
-                out.append((np.full(int(rows.sum()), mark, np.int8), h[rows], doc[rows], pack[rows]))
+                out.append((np.full(int(rows.sum()), mark, np.int8), h[rows], doc[rows], tag[rows], pack[rows]))
             last = head[-1]
-            sent = bool(send[last]) or bool(last == 0 and keep is not None and keep[4])
-            keep = (h[last], c[last], doc[last], pack[last], sent, bool(several[group[-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "h", "doc", "pack"])
+            sent = bool(send[last]) or bool(last == 0 and keep is not None and keep[5])
+            keep = (h[last], c[last], doc[last], tag[last], pack[last], sent, bool(several[group[-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "h", "doc", "tag", "pack"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -318,9 +318,9 @@ def _sort_groups(length: int, seed: int):
             pack = pdf["pack"].to_numpy()
             found = repeated_windows(pdf["near"].to_list(), group, (pack >> 7) & 127, pack & 127, length, seed)
             m = np.array([x[0] for x in found], np.int64)
-            first = ((pack >> 14) & ((1 << 33) - 1))[m]
+            first = (pack >> 14)[m]
             a, b = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
-            return pd.DataFrame({"doc": pdf["doc"].to_numpy()[m], "tag": (pack >> 47)[m], "start": first + a, "stop": first + b + length - 1})
+            return pd.DataFrame({"doc": pdf["doc"].to_numpy()[m], "tag": pdf["tag"].to_numpy()[m], "start": first + a, "stop": first + b + length - 1})
 
         for pdf in batches:
             rest.append(pdf)
@@ -339,21 +339,21 @@ def _sort_groups(length: int, seed: int):
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """``doc, tag, text`` and columns ``more``: rows of one id are told apart by a hash of their text."""
+    """``doc, tag, text`` and columns ``more``: rows of one id are told apart by a 64-bit hash of their text."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(0xFFFF)).alias("tag"), body.alias("text"), *more
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("tag"), body.alias("text"), *more
     )
 
 
 def _field(name: str) -> Column:
-    shift, bits = {"tag": (47, 16), "first": (14, 33), "left": (7, 7), "many": (0, 7)}[name]
+    shift, bits = {"first": (14, 49), "left": (7, 7), "many": (0, 7)}[name]
     return F.shiftright("pack", shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _extent(length: int) -> list[Column]:
     """``tag, start, stop`` of the bytes that all windows of an anchor cover."""
-    return [_field("tag").alias("tag"), _field("first").alias("start"), (_field("first") + _field("many") + length - 1).alias("stop")]
+    return [F.col("tag"), _field("first").alias("start"), (_field("first") + _field("many") + length - 1).alias("stop")]
 
 
 def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
@@ -364,13 +364,13 @@ def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
     """
     first, left, many = _field("first"), _field("left"), _field("many")
     least = left - many + 1
-    cut_ = rows.select("h", "doc", "pack", "near", F.explode(F.sequence(F.floor(least / width), F.floor(left / width))).alias("q"))
+    cut_ = rows.select("h", "doc", "tag", "pack", "near", F.explode(F.sequence(F.floor(least / width), F.floor(left / width))).alias("q"))
     high, low = F.least(left, F.col("q") * width + width - 1), F.greatest(least, F.col("q") * width)
     skip, n = left - high, high - low + 1
     core = F.substring("near", (left - F.col("q") * width + 1).cast("int"), F.lit(length - width + 1))
-    pack = F.shiftleft(_field("tag"), 47).bitwiseOR(F.shiftleft(first + skip, 14)).bitwiseOR(F.shiftleft(high, 7)).bitwiseOR(n)
+    pack = F.shiftleft(first + skip, 14).bitwiseOR(F.shiftleft(high, 7)).bitwiseOR(n)
     return cut_.select(
-        F.xxhash64("h", "q", core).alias("h"), "doc", pack.alias("pack"), F.substring("near", (skip + 1).cast("int"), (n + length - 1).cast("int")).alias("near")
+        F.xxhash64("h", "q", core).alias("h"), "doc", "tag", pack.alias("pack"), F.substring("near", (skip + 1).cast("int"), (n + length - 1).cast("int")).alias("near")
     )
 
 
@@ -383,16 +383,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
     if not seed < length <= 127 or length - seed + 1 > 127:
         raise ValueError("windows of up to 127 bytes, longer than the seed")
     found = bounded_batches(rows).filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_sample(length, seed), ANCHOR)
-    dealt = found.repartition("h").sortWithinPartitions("h", "kind", "c", "doc", "pack")
-    resolved = durable(dealt.mapInArrow(_resolve, "kind byte, h long, doc long, pack long"), "suffix-anchors")
-    tag, first, many = _field("tag"), _field("first"), _field("many")
+    dealt = found.repartition("h").sortWithinPartitions("h", "kind", "c", "doc", "tag", "pack")
+    resolved = durable(dealt.mapInArrow(_resolve, "kind byte, h long, doc long, tag long, pack long"), "suffix-anchors")
+    first, many = _field("first"), _field("many")
     whole = resolved.filter("kind = 0").select("doc", *_extent(length))
     open_ = resolved.filter("kind = 1")
-    asked = open_.select("doc", tag.alias("tag"), "h", "pack").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
+    asked = open_.select("doc", "tag", "h", "pack").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
     # One row a text: the texts are dealt out by id once, here and where they are cut.
     near = (
         rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", F.explode("asked").alias("a")).select("doc", "tag", "text", "a.*")
-        .select("h", "doc", "pack", F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (many + length - 1).cast("int")).alias("near"))
+        .select("h", "doc", "tag", "pack", F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (many + length - 1).cast("int")).alias("near"))
     )
     near = durable(near.distinct(), "suffix-near")
     spans, calm, rows = whole, [], near
@@ -403,12 +403,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
             break
         calm.append(rows.join(busy, "h", "left_anti").select(*rows.columns))
         pieces = durable(_split(rows.join(busy, "h", "left_semi"), width, length), "suffix-pieces")
-        firsts = durable(pieces.groupBy("h", "near").agg(F.min(F.struct("doc", "pack")).alias("one"), F.count("*").alias("n")), "suffix-firsts")
-        later = pieces.join(firsts.filter("n > 1").select("h", "near", "one"), ["h", "near"]).filter(F.struct("doc", "pack") > F.col("one"))
+        firsts = durable(pieces.groupBy("h", "near").agg(F.min(F.struct("doc", "tag", "pack")).alias("one"), F.count("*").alias("n")), "suffix-firsts")
+        later = pieces.join(firsts.filter("n > 1").select("h", "near", "one"), ["h", "near"]).filter(F.struct("doc", "tag", "pack") > F.col("one"))
         spans = spans.union(later.select("doc", *_extent(length)))
-        rows = firsts.select("h", "one.doc", "one.pack", "near")
+        rows = firsts.select("h", "one.doc", "one.tag", "one.pack", "near")
     apart = reduce(lambda a, b: a.unionByName(b), calm)
-    sorted_ = apart.repartition("h").sortWithinPartitions("h", "doc", "pack").mapInPandas(_sort_groups(length, seed), "doc long, tag long, start long, stop long")
+    sorted_ = apart.repartition("h").sortWithinPartitions("h", "doc", "tag", "pack").mapInPandas(_sort_groups(length, seed), "doc long, tag long, start long, stop long")
     return spans.union(sorted_).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -455,7 +455,7 @@ def report(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
     A byte goes if a window of ``length`` bytes over it starts earlier too.
     Null texts are empty; a null id counts as the smallest id.  Rows of one id
-    are told apart and ordered by a hash of their text; rows that agree in both
+    are told apart and ordered by a 64-bit hash of their text; rows that agree in both
     get the same result and don't remove each other.
     """
     rows = keyed(docs, key, text)
