@@ -32,14 +32,14 @@ def _key(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *[F.get(words, at + k) for k in range(width)])
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows: ``words, size, width, items``."""
+def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``wid, words, size, width``, and ``wid, item`` of the items that they belong to."""
     items = benchmark.select(F.col(key).alias("item"), words_of(F.col(text)).alias("w")).filter("size(w) > 0")
     starts = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("at"))
-    cut = starts.select("item", F.slice("w", F.col("at") + 1, window).alias("words"))
-    return cut.groupBy("words").agg(F.collect_set("item").alias("items")).select(
-        "words", "items", F.size("words").alias("size"), F.least(F.size("words"), F.lit(shingle)).alias("width")
-    )
+    cut = durable(starts.select("item", F.slice("w", F.col("at") + 1, window).alias("words")).distinct(), "decontam-cut")
+    sized = cut.select("words").distinct().select("words", F.size("words").alias("size"), F.least(F.size("words"), F.lit(shingle)).alias("width"))
+    known = durable(sized.withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
+    return known, durable(cut.filter("item IS NOT NULL").join(known.select("words", "wid"), "words").select("wid", "item"), "decontam-items")
 
 
 def _keys_at(words: Column, at: Column, widths: list[int]) -> Column:
@@ -62,41 +62,51 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     have no words and no spans.  Repeated rows are reported each; items without
     words match nothing; an item id of null marks words but isn't listed.
     """
-    known = durable(windows(benchmark, window, shingle), "decontam-windows")
+    known, listed = windows(benchmark, window, shingle)
     n, widths = known.count(), sorted(r[0] for r in known.select("width").distinct().collect())
     small = (lambda x: F.broadcast(x)) if n <= broadcast_windows else (lambda x: x)
-    tokenised = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    if n > broadcast_windows:
+        texts = durable(texts, "decontam-texts")
+    tokenised = texts.select("rid", "doc_id", words_of(F.col("text")).alias("w"))
     none = tokenised.select(
-        "rid", "doc_id", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.array().cast(known.schema["items"].dataType).alias("items")
+        "rid", "doc_id", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("long").alias("wid")
     )
     if not n:
         found = none
     else:
-        offsets = known.select("words", "items", "size", "width", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("offset"))
+        offsets = known.select("wid", "words", "size", "width", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("offset"))
         shingles = offsets.withColumn("key", F.coalesce(*[F.when(F.col("width") == w, _key(F.col("words"), F.col("offset"), w)) for w in widths]))
         counts = (
             _places(tokenised, widths, 0).select("key").join(small(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
         )
         # One row a shingle and window of the benchmark: the rarest shingle of each window is its prefix.
-        rarity = shingles.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        prefix = durable(
-            rarity.groupBy("words").agg(F.min_by(F.struct("items", "size", "offset", "key"), F.struct("n", "key", "offset")).alias("p"), F.min("n").alias("n"))
-            .filter("n > 0").select(F.col("words").alias("window"), "p.*"),
-            "decontam-prefix",
-        )
+        rarity = shingles.select("wid", "size", "offset", "key").join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        rarest = rarity.groupBy("wid").agg(F.min_by(F.struct("size", "offset", "key"), F.struct("n", "key", "offset")).alias("p"), F.min("n").alias("n"))
+        prefix = durable(rarest.filter("n > 0").select("wid", "p.*").join(known.select("wid", F.col("words").alias("window")), "wid"), "decontam-prefix")
         start = F.col("at") - F.col("offset")
-        verified = (start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("window"))
-        columns = ["rid", "doc_id", F.size("w").alias("n_words"), F.when(verified, start).alias("start"), F.when(verified, F.col("size")).alias("size"), "items"]
         if n <= broadcast_windows:
+            verified = (start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("window"))
+            columns = ["rid", "doc_id", F.size("w").alias("n_words"), F.when(verified, start).alias("start"), F.when(verified, F.col("size")).alias("size"), F.when(verified, F.col("wid")).alias("wid")]
             # The row at -1 stands for the document itself, so one pass also counts its words.
             found = _places(tokenised, widths, -1).join(F.broadcast(prefix), "key", "left").filter((F.col("at") < 0) | verified).select(*columns)
         else:
-            found = _places(tokenised, widths, 0).join(prefix, "key").filter(verified).select(*columns).union(none)
-    return found.groupBy("rid", "doc_id").agg(
+            # Places are shuffled without the text, which meets the candidate starts once a document.
+            places = _places(tokenised, widths, 0).select("rid", "at", "key").filter("key IS NOT NULL")
+            starts = places.join(prefix.drop("window"), "key").select("rid", start.alias("start"), "size", "wid").filter("start >= 0")
+            passages = (
+                starts.join(tokenised, "rid").filter(F.col("start") + F.col("size") <= F.size("w"))
+                .select("rid", "doc_id", F.size("w").alias("n_words"), "start", "size", "wid", F.slice("w", F.col("start") + 1, F.col("size")).alias("passage"))
+            )
+            found = passages.join(prefix.select("wid", "window"), "wid").filter("passage = window").select(*none.columns).union(none)
+    marked = found.groupBy("rid", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "size"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))))).alias("items"),
+        F.collect_set("wid").alias("wids"),
     )
+    marked = durable(marked, "decontam-marked")
+    items = marked.select("rid", F.explode("wids").alias("wid")).join(listed, "wid").groupBy("rid").agg(F.collect_set("item").alias("items"))
+    return marked.join(items, "rid", "left").select("rid", "doc_id", "n_words", "spans", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
 
 
 def covered(spans: Column) -> Column:
