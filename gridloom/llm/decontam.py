@@ -135,9 +135,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated row, columns unchanged.
+    """The rows of ``docs`` without a window of the benchmark, columns unchanged.
 
-    Rows without an id can't be told apart and are kept.
+    Rows are judged one by one, whether or not they have an id or share it.
     """
-    dirty = durable(report(docs, benchmark).filter("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "decontam-dirty")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    rid = "__rid" + "_" * max(map(len, docs.columns))
+    rows = durable(docs.withColumn(rid, F.monotonically_increasing_id()), "decontam-rows")
+    dirty = durable(find_windows(rows, benchmark, key=rid).filter("size(spans) > 0").select(F.col("doc_id").alias(rid)), "decontam-dirty")
+    return rows.join(dirty, rid, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import suffix
+from gridloom.llm import decontam, suffix
 
 
 def test_thousands_of_texts_under_null_and_equal_ids(spark):
@@ -32,3 +32,12 @@ def test_thousands_of_texts_under_null_and_equal_ids(spark):
     assert sum(x[1] > 0 for x in want) == 1499
     assert sorted((x.n_bytes, x.n_removed) for x in suffix.report(df).collect()) == sorted(x[:2] for x in want)
     assert sorted(x.text for x in suffix.remove(df).collect()) == sorted(x[2] for x in want)
+
+
+def test_clean_rows_are_kept_one_by_one(spark):
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(None, f"so {passage} it is"), (None, "clean without an id"), (1, passage), (1, "clean with the same id"), (2, passage), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = {(x.doc_id, x.text) for x in decontam.keep_clean(df, bench).collect()}
+    assert got == {rows[1], rows[3], rows[5]}
