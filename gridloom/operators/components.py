@@ -7,18 +7,18 @@ split the join.  The rounds stop when the edge set is a forest of stars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans.durable import durable
 
 
 def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
-    """The edges on disk, and their number and a sum of hashes that was taken while they were written."""
-    seen = Observation()
+    """The edges on disk, and their number and a sum of hashes."""
+    out = durable(edges, label)
     hashes = F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))
-    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(hashes).alias("h")), label)
-    return out, (int(seen.get["n"]), int(seen.get["h"] or 0))
+    n, h = out.agg(F.count(F.lit(1)), F.sum(hashes)).first()
+    return out, (int(n), int(h or 0))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

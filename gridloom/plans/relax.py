@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans.durable import durable
@@ -15,7 +15,7 @@ def relax(start: DataFrame, keys: Sequence[str], value: str, offer: Callable[[Da
 
     ``offer`` maps the rows that got smaller in the last round to new rows of
     ``keys, value``.  A round is one grouped minimum, combined map side, and
-    one write; how many rows got smaller is counted while they are written.
+    one write.
     """
     kind = start.schema[value].dataType
     state = durable(start.groupBy(*keys).agg(F.min(value).alias(value)).withColumn("fresh", F.lit(True)), label)
@@ -24,8 +24,7 @@ def relax(start: DataFrame, keys: Sequence[str], value: str, offer: Callable[[Da
         both = state.select(*keys, value, F.col(value).alias("old")).unionByName(offered)
         least = both.groupBy(*keys).agg(F.min(value).alias(value), F.min("old").alias("old"))
         marked = least.select(*keys, value, (F.col("old").isNull() | (F.col(value) < F.col("old"))).alias("fresh"))
-        seen = Observation()
-        state = durable(marked.observe(seen, F.count_if("fresh").alias("n")), label)
-        if not seen.get["n"]:
+        state = durable(marked, label)
+        if state.filter("fresh").isEmpty():
             return state.drop("fresh")
     raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
