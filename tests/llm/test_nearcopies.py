@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from gridloom.llm import nearcopies
+from gridloom.llm import simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,21 +64,20 @@ def test_stage_drops_planted_near_copies(spark):
     assert {x.doc_id for x in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("bucket", [32, 4, 1])
-def test_crowded_buckets_leave_one_of_each_pair(spark, bucket):
+@pytest.mark.parametrize("crowd", [1000, 8, 2])
+def test_crowded_balls_have_the_components_of_all_pairs(spark, crowd):
     r = random.Random(2)
     base = prose(r, 200)
     texts = [base] + [changed(r, base, r.randint(0, 3)) for _ in range(60)] + [changed(r, base, 9) for _ in range(10)]
-    kept = [x.doc_id for x in nearcopies.drop_near_copies(table(spark, enumerate(texts)), bucket=bucket).collect()]
-    assert 0 in kept and not [p for p in combinations(sorted(kept), 2) if jaccard(texts[p[0]], texts[p[1]]) >= 0.8]
-    assert len(kept) >= len(survivors(texts))
+    kept = [x.doc_id for x in simhash.keep_one(table(spark, enumerate(texts)), crowd=crowd).collect()]
+    assert sorted(kept) == sorted(survivors(texts))
 
 
 def test_rows_with_equal_or_no_ids_are_told_apart(spark):
     r = random.Random(3)
     a, b, c, d = (prose(r, 120) for _ in range(4))
     rows = [(1, a), (1, b), (None, c), (None, changed(r, c, 1)), (2, changed(r, a, 1)), (None, d), (None, changed(r, b, 1)), (5, None), (6, " ")]
-    got = nearcopies.drop_near_copies(table(spark, rows)).collect()
+    got = simhash.keep_one(table(spark, rows)).collect()
     assert sorted((x.doc_id or 0) for x in got) == [0, 0, 1, 1, 5]
     assert {x.text for x in got} >= {a, b, d, None}
-    assert nearcopies.drop_near_copies(table(spark, rows[:0])).count() == 0
+    assert simhash.keep_one(table(spark, rows[:0])).count() == 0
