@@ -58,7 +58,7 @@ def test_every_known_sentence_has_a_hint_and_a_rule():
 
     used = {p for _, parts in licenses.RULES for p in parts}
     for sentence, ident in licenses.SENTENCES.items():
-        assert re.search(licenses.HINT, sentence) and (ident in used or ident.startswith(("apache2", "gpl", "mit-", "bsd-")))
+        assert any(w in sentence.split(" ") for w in licenses.hint_words()) and (ident in used or ident.startswith(("apache2", "gpl", "mit-", "bsd-")))
         assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", sentence)
 
 
