@@ -29,8 +29,11 @@ RULES = (
     ("org", "/es/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD = 20
-LONGEST_LABEL = 63
+#: A word: digits, lower-case letters and all beyond ASCII.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = "[" + WORD[2:]
+#: Longer words are looked up by their first so many characters.
+STEM = 20
 
 
 def host_of(url: Column) -> Column:
@@ -48,24 +51,31 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return F.coalesce(*[F.when(f, F.lit(h + p)) for f, (h, p, _) in zip(fits, ordered)]), F.coalesce(*[F.when(f, F.lit(v)) for f, (_, _, v) in zip(fits, ordered)])
 
 
-def labels_of(host: Column) -> Column:
-    """Runs of letters in a host; of a run longer than a label may be, each piece."""
-    return F.regexp_extract_all(host, F.lit("[a-z]{1,%d}" % LONGEST_LABEL), F.lit(0))
+def words_of(text: Column) -> Column:
+    """The words of a text, host or path, in order and as often as they occur."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), _BETWEEN), "")
 
 
 def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """Most likely split of a label into words; ties go to the longest last word.
+    """Most likely split of a label into words of any length; ties go to the longest last word.
 
     A word that was never counted is as likely as ``10 / (total * 10 ** length)``.
     """
+    unit, lengths = math.log(10), sorted({len(w) for w in counts}, reverse=True)
+    unseen = math.log(10 / total)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    # An unseen word may begin anywhere: that is best where best[begin] + begin * unit is largest.
+    top = (0.0, 0)
     for end in range(1, len(label) + 1):
-        options = []
-        for begin in range(max(0, end - LONGEST_WORD), end):
-            n = counts.get(label[begin:end], 0)
-            cost = math.log(n / total) if n else math.log(10 / total) - (end - begin) * math.log(10)
-            options.append((best[begin][0] + cost, begin))
-        best.append(max(options, key=lambda o: (round(o[0], 9), -o[1])))
+        found = (top[0] + unseen - end * unit, top[1])
+        for n in lengths:
+            if n <= end and (times := counts.get(label[end - n : end])):
+                cost = best[end - n][0] + math.log(times / total)
+                if cost > found[0] + 1e-9 or (abs(cost - found[0]) <= 1e-9 and end - n < found[1]):
+                    found = (cost, end - n)
+        best.append(found)
+        if found[0] + end * unit > top[0] + 1e-9:
+            top = (found[0] + end * unit, end)
     words, end = [], len(label)
     while end:
         begin = best[end][1]
@@ -75,18 +85,25 @@ def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def unigrams(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``word, n`` over all texts; words of a-z up to the longest that a split may use."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit("[a-z]+"), F.lit(0))
-    return texts.select(F.explode(words).alias("word")).filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n`` over all texts."""
+    return texts.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """``label, words`` for distinct ``label`` under the unigrams ``word, n``."""
+    """``label, words`` for distinct ``label`` under the unigrams ``word, n``.
+
+    Every substring of a label that is a word counts: those of up to ``STEM``
+    characters are joined as they are, longer ones by their first characters.
+    """
     total = int(words.agg(F.sum("n")).first()[0] or 1)
-    n = F.length("label")
-    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("b"))
-    pieces = starts.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("b") + 1)), lambda k: F.substring(F.col("label"), F.col("b"), k))).alias("word"))
-    known = pieces.distinct().join(words, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)))).alias("b"))
+    room = F.length("label") - F.col("b") + 1
+    pieces = starts.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(STEM), room)), lambda k: F.substring(F.col("label"), F.col("b"), k))).alias("word"))
+    short = pieces.distinct().join(words, "word").select("label", "word", "n")
+    long_ = words.filter(F.length("word") > STEM).withColumn("stem", F.substring("word", 1, STEM))
+    at = starts.filter(room > STEM).withColumn("stem", F.substring(F.col("label"), F.col("b"), F.lit(STEM)))
+    far = at.join(long_, "stem").filter(F.substring(F.col("label"), F.col("b"), F.length("word")) == F.col("word")).select("label", "word", "n").distinct()
+    known = short.union(far).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(label: pd.Series, counts: pd.Series) -> pd.Series:
@@ -98,20 +115,17 @@ def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
 def bayes(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5) -> tuple[DataFrame, float]:
     """``token, weight`` (log odds of block against allow) and the log odds of the prior.
 
-    ``tokens`` has ``host, tokens, n``: the distinct token lists and how many
-    pages have them.  A token counts once a page, so that long junk can't drown
-    the rest.  A list that holds a seed word trains as block.
+    ``tokens`` has ``tokens, n``: the token lists and how many pages have them.
+    The model is multinomial: a token counts as often as it occurs.  A list
+    that holds a seed word trains as block.
     """
     marked = tokens.withColumn("bad", F.arrays_overlap("tokens", F.array(*[F.lit(s) for s in seeds])))
-    each = marked.select("bad", "n", F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("a")
-    )
-    sums = each.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count("*").alias("v")).first()
-    pages = marked.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("a")).first()
-    sb, sa, v = (float(x or 0) for x in sums)
+    split = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x) for c, x in ((F.col("bad"), "b"), (~F.col("bad"), "a"))]
+    each = marked.select("bad", "n", F.explode("tokens").alias("token")).groupBy("token").agg(*split)
+    sb, sa, v = (float(x or 0) for x in each.agg(F.sum("b"), F.sum("a"), F.count("*")).first())
+    b, a = (float(x or 0) for x in marked.agg(*split).first())
     odds = F.log((F.col("b") + alpha) / (sb + alpha * max(v, 1))) - F.log((F.col("a") + alpha) / (sa + alpha * max(v, 1)))
-    prior = math.log((float(pages[0] or 0) + alpha) / (float(pages[1] or 0) + alpha))
-    return each.select("token", odds.alias("weight")), prior
+    return each.select("token", odds.alias("weight")), math.log((b + alpha) / (a + alpha))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -127,15 +141,15 @@ def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS
     base = durable(pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path")), "url-parts")
     words = durable(unigrams(pages.select(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"<[^>]*>", " ").alias("text"))), "url-unigrams")
     hosts = base.groupBy("host").agg(F.count("*").alias("n"))
-    parts = durable(hosts.select("host", F.posexplode_outer(labels_of(F.col("host"))).alias("i", "label")), "url-labels")
+    parts = durable(hosts.select("host", F.posexplode_outer(words_of(F.col("host"))).alias("i", "label")), "url-labels")
     split = segment_labels(parts.filter("label IS NOT NULL").select("label").distinct(), words)
     segmented = durable(
         parts.join(split, "label", "left").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("host_tokens")),
         "url-hosts",
     )
-    path_tokens = F.regexp_extract_all(F.translate("path", UPPER, LOWER), F.lit("[a-z]+"), F.lit(0))
+    path_tokens = words_of(F.col("path"))
     lists = durable(base.select("host", path_tokens.alias("path_tokens")).groupBy("host", "path_tokens").agg(F.count("*").alias("n")), "url-lists")
-    tokens = durable(lists.join(segmented, "host").select("host", "path_tokens", F.array_distinct(F.concat("host_tokens", "path_tokens")).alias("tokens"), "n"), "url-tokens")
+    tokens = durable(lists.join(segmented, "host").select("host", "path_tokens", F.concat("host_tokens", "path_tokens").alias("tokens"), "n"), "url-tokens")
     weights, prior = bayes(tokens, seeds)
     scored = (
         tokens.select("host", "path_tokens", F.explode("tokens").alias("token")).join(weights, "token")

@@ -157,9 +157,9 @@ def brute_segment(label, counts, total):
     return best, cost
 
 
-@pytest.mark.parametrize("label", ["cheappills", "freebets", "thecat", "a", "zzqq"])
+@pytest.mark.parametrize("label", ["cheappills", "freebets", "thecat", "a", "zzqq", "24bets7", "caféthe", "x" + "long" * 3])
 def test_segments_are_most_likely(label):
-    counts = {"cheap": 50, "pills": 20, "free": 90, "bets": 5, "bet": 9, "the": 500, "cat": 10, "hec": 1, "a": 100}
+    counts = {"cheap": 50, "pills": 20, "free": 90, "bets": 5, "bet": 9, "the": 500, "cat": 10, "hec": 1, "a": 100, "24": 7, "café": 3, "longlonglong": 2}
     best, cost = brute_segment(label, counts, 1000)
     assert abs(sum(map(cost, urls.segment(label, counts, 1000))) - best) < 1e-9
 
@@ -181,6 +181,57 @@ def test_url_parts_rules_and_edges(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def plain_verdicts(pages):
+    """Unigrams, segments, multinomial counts, prior, score and verdict of all pages, in plain Python."""
+    import math
+    import re
+
+    low = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    tokens = lambda t: re.findall(urls.WORD, low(t))
+    counts = {}
+    for _, _, html in pages:
+        for w in tokens(re.sub(r"<[^>]*>", " ", html or "")):
+            counts[w] = counts.get(w, 0) + 1
+    total, rows, split = sum(counts.values()) or 1, [], {}
+    for page, url, _ in pages:
+        _, sep, rest = (url or "").partition("://")
+        host = low(re.split(r"[/?#]", rest)[0])
+        path = re.split(r"[?#]", rest[len(host) :])[0] if sep else ""
+        for label in tokens(host):
+            if label not in split:
+                split[label] = urls.segment(label, {w: n for w, n in counts.items() if w in label}, total)
+        rows.append((page, host, path, [w for label in tokens(host) for w in split[label]] + tokens(path)))
+    bad = [any(w in urls.SEEDS for w in r[3]) for r in rows]
+    by = {}
+    for r, b in zip(rows, bad):
+        for w in r[3]:
+            by.setdefault(w, [0, 0])[b] += 1
+    sums = [sum(v[k] for v in by.values()) for k in (0, 1)]
+    weight = {w: math.log((b + 0.5) / (sums[1] + 0.5 * len(by))) - math.log((a + 0.5) / (sums[0] + 0.5 * len(by))) for w, (a, b) in by.items()}
+    prior = math.log((sum(bad) + 0.5) / (len(rows) - sum(bad) + 0.5))
+    out = []
+    for page, host, path, words_ in rows:
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        score = prior + sum(weight[w] for w in words_)
+        out.append((page, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if score > 0 else "allow", round(score, 6)))
+    return out
+
+
+def key(row):
+    return tuple((x is None, str(x)) for x in row)
+
+
+@pytest.mark.parametrize("which", ["table", "edges"])
+def test_verdicts_of_all_pages_match_a_plain_evaluation(spark, sf_dir, which):
+    long = "supercalifragilistic" * 6
+    edges = [(1, "https://casino" + "casino" * 20 + ".io/a/a/a-b", "casino free x"), (2, f"http://{long}cat.org/x", f"<p>{long} cat</p> the {long}"), (3, "http://xn--caf%C3%A9.de/free/free", "caf"), (4, "http://1and1.com/24h", "1 and 1 24h"), (5, None, None), (None, "http://thecat.io/cheap?z", "the cat"), (5, "x", "y"), (6, "http://é.fr/É", "é")]
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()] if which == "table" else edges
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = plain_verdicts(pages)
+    assert sorted(((*tuple(r)[:5], round(r.score, 6)) for r in got), key=key) == sorted(want, key=key)
+    assert {r[4] for r in want} == {"block", "allow"}
+
+
 # 5 ---------------------------------------------------------------------------------
 
 
