@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.plans.durable import durable
+from gridloom.plans.durable import Rounds
 
 
-def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+def _written(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, tuple[int, int]]:
     """The edges on disk, and their number and a sum of hashes."""
-    out = durable(edges, label)
+    out = rounds.write(edges)
     hashes = F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))
     n, h = out.agg(F.count(F.lit(1)), F.sum(hashes)).first()
     return out, (int(n), int(h or 0))
@@ -43,16 +43,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     edges are ignored; edges with a null end are ignored.  Nodes without edges
     don't appear: the caller takes the node itself for them.
     """
+    rounds = Rounds(edges.sparkSession, "cc-round")
     current, seen = _written(
         edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
         .filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
-        "cc-edges",
+        rounds,
     )
     if seen[0]:
         for _ in range(max_rounds):
-            current, now = _written(_small_star(_large_star(current)), "cc-round")
+            current, now = _written(_small_star(_large_star(current)), rounds)
             if now == seen:
                 break
             seen = now

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.plans.durable import durable
+from gridloom.plans.durable import Rounds
 
 
 def relax(start: DataFrame, keys: Sequence[str], value: str, offer: Callable[[DataFrame], DataFrame], label: str = "relax", most_rounds: int = 10_000) -> DataFrame:
@@ -18,13 +18,14 @@ def relax(start: DataFrame, keys: Sequence[str], value: str, offer: Callable[[Da
     one write.
     """
     kind = start.schema[value].dataType
-    state = durable(start.groupBy(*keys).agg(F.min(value).alias(value)).withColumn("fresh", F.lit(True)), label)
+    rounds = Rounds(start.sparkSession, label)
+    state = rounds.write(start.groupBy(*keys).agg(F.min(value).alias(value)).withColumn("fresh", F.lit(True)))
     for _ in range(most_rounds):
         offered = offer(state.filter("fresh").drop("fresh")).select(*keys, value, F.lit(None).cast(kind).alias("old"))
         both = state.select(*keys, value, F.col(value).alias("old")).unionByName(offered)
         least = both.groupBy(*keys).agg(F.min(value).alias(value), F.min("old").alias("old"))
         marked = least.select(*keys, value, (F.col("old").isNull() | (F.col(value) < F.col("old"))).alias("fresh"))
-        state = durable(marked, label)
+        state = rounds.write(marked)
         if state.filter("fresh").isEmpty():
             return state.drop("fresh")
     raise RuntimeError(f"no fixpoint within {most_rounds} rounds")

@@ -131,7 +131,9 @@ def write_binaries(rows: DataFrame, folder: str) -> DataFrame:
     import pandas as pd
     import pyarrow.fs as pafs
 
-    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    from gridloom.plans.durable import durable, qualified
+
+    uri = qualified(rows.sparkSession, folder)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(uri)
@@ -144,6 +146,4 @@ def write_binaries(rows: DataFrame, folder: str) -> DataFrame:
                 fs.move(part, f"{base}/{name}")
             yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
 
-    from gridloom.plans.durable import durable
-
     return durable(rows.select("name", "content").mapInPandas(put, "name string, bytes long"), "written")
