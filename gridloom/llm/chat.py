@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.durable import durable
+from gridloom.plans.ranking import global_rank
+
 
 @dataclass(frozen=True)
 class Template:
@@ -39,19 +42,26 @@ def conversations(turns: DataFrame) -> DataFrame:
 def swapped_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """Pairs whose rejected side ends in another conversation's last reply.
 
-    Conversations ``2k`` and ``2k + 1`` are partners.  Chosen is a conversation
-    up to its last assistant turn; rejected has the partner's last assistant
-    text there.  Conversations that lack such a turn, or a partner that has
-    one, give no pair.
+    Conversations that have an assistant turn are numbered by id: 1 and 2 are
+    partners, 3 and 4, and so on; the partner of an odd last one is the one
+    before it.  Chosen is a conversation up to its last assistant turn;
+    rejected has the partner's last assistant text there.  Conversations
+    without such a turn have no reply to prefer and give no pair; one that is
+    alone in the table has a null rejected side.
     """
-    convs = conversations(turns)
     last = F.array_max(F.transform(F.col("turns"), lambda x, i: F.when(x["role"] == trained, i + 1)))
-    ended = convs.withColumn("last", last).filter("last IS NOT NULL").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    reply = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("chosen", -1)["text"].alias("other"))
-    head = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
+    ended = conversations(turns).withColumn("last", last).filter("last IS NOT NULL").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
+    ended = durable(ended.withColumn("reply", F.element_at("chosen", -1)["text"]), "chat-ended")
+    ranks = durable(global_rank(ended.select("conv_id"), "conv_id"), "chat-ranks")
+    n = ranks.count()
+    odd = F.col("rank") % 2 == 1
+    partner = F.when(odd & (F.col("rank") < n), F.col("rank") + 1).otherwise(F.col("rank") - 1)
+    wanted = ranks.select("conv_id", partner.alias("rank")).join(ranks.select(F.col("conv_id").alias("partner"), "rank"), "rank").drop("rank")
+    reply = ended.select(F.col("conv_id").alias("partner"), F.col("reply").alias("other")).join(wanted, "partner").drop("partner")
     tail = F.element_at("chosen", -1)
     swapped = F.struct(tail["turn"].alias("turn"), tail["role"].alias("role"), F.col("other").alias("text"))
-    return ended.join(reply, "conv_id").select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(head, F.array(swapped)).alias("rejected"))
+    rejected = F.when(F.col("other").isNotNull(), F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(swapped)))
+    return ended.join(reply, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -87,12 +97,18 @@ def preferences(pairs: DataFrame, template: Template = Template()) -> DataFrame:
     """Formatted pairs from ``pair_id, chosen, rejected`` (arrays of turns).
 
     Returns ``pair_id, n_common, prompt``, the two completions and the spans of
-    their trained characters.  Null sides count as empty conversations; equal
-    sides give two empty completions; without a common turn the prompt is
-    empty.  One row per input row, no shuffle.
+    their trained characters.  Null sides count as empty conversations, null
+    roles and texts as empty, and null turns aren't there; equal sides give two
+    empty completions; without a common turn the prompt is empty.  One row per
+    input row, no shuffle.
     """
-    empty = F.array().cast(pairs.schema["chosen"].dataType)
-    sides = pairs.select("pair_id", F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
+    empty = F.array().cast("array<struct<role: string, text: string>>")
+
+    def side(name: str) -> Column:
+        turns = F.filter(name, lambda x: x.isNotNull())
+        return F.coalesce(F.transform(turns, lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))), empty).alias(name)
+
+    sides = pairs.select("pair_id", side("chosen"), side("rejected"))
     cut = sides.withColumn("n_common", common_turns(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c) - F.col("n_common"), F.lit(0)))
     parts = cut.select("pair_id", "n_common", F.slice("chosen", F.lit(1), F.col("n_common")).alias("p"), rest("chosen").alias("c"), rest("rejected").alias("r"))
@@ -115,11 +131,13 @@ WITH t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t
 ), l AS (
   SELECT conv_id, max(i) AS last FROM o WHERE role = 'assistant' GROUP BY conv_id
+), k AS (
+  SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS rank, count(*) OVER () AS many FROM l
 ), e AS (
-  SELECT o.*, last FROM o JOIN l USING (conv_id) WHERE i <= last
+  SELECT o.*, last, rank, CASE WHEN rank % 2 = 1 AND rank < many THEN rank + 1 ELSE rank - 1 END AS partner FROM o JOIN l USING (conv_id) JOIN k USING (conv_id) WHERE i <= last
 ), b AS (
   SELECT e.conv_id, e.i, e.last, e.role, e.text AS ct, CASE WHEN e.i = e.last THEN p.text ELSE e.text END AS rt
-  FROM e JOIN e p ON p.conv_id = xor(e.conv_id, 1) AND p.i = p.last
+  FROM e JOIN e p ON p.rank = e.partner AND p.i = p.last
 ), n AS (
   SELECT conv_id, coalesce(min(i) FILTER (ct <> rt) - 1, max(i)) AS n_common FROM b GROUP BY conv_id
 ), r AS (
