@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import math
 import uuid
 from base64 import b32decode, b32encode
@@ -21,27 +22,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.durable import durable, fresh_path
+from gridloom.plans.durable import durable, fresh_path, qualified
 from gridloom.plans.session import bounded_batches
 
 #: Smaller payloads are always stored: a revisit record would save nothing.
 LEAST_REVISIT = 1000
 #: Ranges that are at most so far apart are fetched together, up to the most bytes at once.
 GAP, MOST = 64 << 10, 4 << 20
-#: Compressed bytes of selected records a task reads, about.
-SPLIT = 32 << 20
+#: Compressed bytes of selected records a task reads, about, and payload bytes that it hands on at once.
+SPLIT, HANDED = 32 << 20, 4 << 20
 LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
 
-def located(folder: str) -> str:
-    """A folder as an URI with a scheme and an authority, as Arrow reads it."""
-    if "://" in folder:
-        return folder
-    return f"file://{folder.removeprefix('file:')}"
-
-
 def decide(pages: DataFrame, key: str = "page_id", body: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, digest, refers_to`` of the pages that are stored as a reference.
 
@@ -101,7 +95,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     it is whole, so a task that is run twice leaves no half file and the index
     names only files of attempts that ended.
     """
-    folder = located(folder)
+    folder = qualified(pages.sparkSession, folder)
     refers = decide(pages, key, body, least)
     rows = bounded_batches(pages).select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(body), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary")))
@@ -151,20 +145,31 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> lis
     return out
 
 
-def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, most: int = MOST, split: int = SPLIT) -> DataFrame:
+def unzip(raw: memoryview) -> bytes:
+    """One gzip member, decompressed piece by piece."""
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as source:
+        return b"".join(iter(lambda: source.read(1 << 20), b""))
+
+
+def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, most: int = MOST, split: int = SPLIT, payloads: bool = True, handed: int = HANDED) -> DataFrame:
     """The records of the index rows, fetched by joined byte ranges.
 
     Returns ``page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, payload``; a stored payload is hashed anew and must have the
-    digest of its header.  The index is dealt out in ranges of file and offset,
+    refers_to`` and, if asked for, ``payload``; a stored payload is hashed anew
+    and must have the digest of its header.  However well records compress, a
+    task holds one fetched range, one record and ``handed`` payload bytes.  The index is dealt out in ranges of file and offset,
     as many as the selected bytes need, so a large file is spread over tasks.
     """
-    folder = located(folder)
+    folder = qualified(spark, folder)
     chosen = bounded_batches(index).select("file", "offset", "length")
     total = chosen.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, math.ceil(total / split), min(chosen.select("file").distinct().count(), spark.sparkContext.defaultParallelism))
     sorted_rows = chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def framed(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -175,24 +180,29 @@ def read(spark: SparkSession, index: DataFrame, folder: str, gap: int = GAP, mos
                     for start, stop, members in ranges(spots, gap, most):
                         source.seek(start)
                         view = memoryview(source.read(stop - start))
-                        found = []
+                        found, held = [], 0
                         for k in members:
                             offset, length = spots[k]
-                            fields, block = parse_record(gzip.decompress(view[offset - start : offset - start + length]))
+                            fields, block = parse_record(unzip(view[offset - start : offset - start + length]))
                             digest = b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                             kind = fields["WARC-Type"]
                             if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
                                 raise ValueError(f"{file} at {offset}: the payload has another digest than its header")
                             ident = [fields.get(h, "").removeprefix("<urn:page:").removesuffix(">") for h in ("WARC-Record-ID", "WARC-Refers-To")]
                             page, to = (int(v) if v.lstrip("-").isdigit() else None for v in ident)
-                            found.append((page, fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest, kind, to, block))
-                        yield pd.DataFrame(found, columns=[x.split()[0] for x in schema.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            found.append((page, fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest, kind, to, *[block] * payloads))
+                            held += len(block)
+                            if held >= handed:
+                                yield framed(found)
+                                found, held = [], 0
+                        if found:
+                            yield framed(found)
 
     return sorted_rows.mapInPandas(fetch, schema)
 
 
-def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def archive_and_read(pages: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
     """Write all ``pages`` and read every record back through the index."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    return read(spark, write(pages, folder), folder)
+    return read(spark, write(pages, folder), folder, payloads=payloads)
