@@ -19,6 +19,8 @@ from gridloom.plans.durable import durable
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
+#: Sizes with which a remaining budget is fitted first.
+SMALL = 1 << 12
 #: Seeded shards that a size of a source is cut into; ranks are only ever taken within one.
 SHARDS = 512
 
@@ -52,57 +54,90 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return settled.select("source", "source_size", F.least("cap", F.coalesce(F.col("settled") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that the sizes add up to ``budget``, or to the nearest sum.
+def _knapsack(size: list[int], left: list[int], rest: int) -> tuple[list[int], int]:
+    """Counts of each size, at most ``left``, whose sum is the nearest to ``rest``, and how far it is off.
 
-    ``lengths`` are distinct and positive.  All but a few times the largest
-    size is spread in proportion to the counts; the rest is a bounded knapsack
-    over what is left of each size, whose table is as long as that rest.
+    Bit ``b`` of ``reach`` is set if the sizes so far reach ``b``, and
+    ``first[b]`` is the item that reached it.  It looks past ``rest`` by the
+    largest size, for the nearest sum may lie above, and ends once ``rest`` is
+    reached.  Sizes are ascending: the small ones come first.
     """
-    order = np.argsort(lengths)
-    size, have = lengths[order].astype(object), counts[order].astype(object)
-    total = int(sum(s * c for s, c in zip(size, have)))
-    budget = max(0, min(int(budget), total))
     take = [0] * len(size)
-    if not len(size) or not budget:
-        return np.zeros(len(lengths), dtype=np.int64)
-    if budget == total:
-        return counts.astype(np.int64)
-    rest_at_least = 2 * int(size[-1])
-    spread = max(0, budget - rest_at_least)
-    carry = 0  # in units of size / total, so that all is exact
-    for k, (s, c) in enumerate(zip(size, have)):
-        carry += s * c * spread
-        take[k] = min(c, carry // (s * total))
-        carry -= take[k] * s * total
-    rest = budget - sum(s * t for s, t in zip(size, take))
-    # Bitset knapsack: bit b of reach is set if the leftovers reach b; first[b] is the item that reached it.
-    # It looks past the rest by the largest size, for the nearest sum may lie above.
-    top = rest + int(size[-1])
+    top = rest + (size[-1] if size else 0)
     mask, reach = (1 << (top + 1)) - 1, 1
     items: list[tuple[int, int]] = []
-    first = np.full(top + 1, -1, dtype=np.int64)
-    for k, (s, c) in enumerate(zip(size, have)):
-        left, step = min(c - take[k], top // s), 1
-        while left > 0 and not reach >> rest & 1:
-            many = min(step, left)
-            new = (reach << int(s * many)) & mask & ~reach
-            if new:
-                bits = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little"))
-                first[bits] = len(items)
-                reach |= new
+    first = np.full(top + 1, -1, dtype=np.int32)
+    for k, (s, c) in enumerate(zip(size, left)):
+        c, step = min(c, top // s), 1
+        while c > 0 and not reach >> rest & 1:
+            many = min(step, c)
+            new = (reach << (s * many)) & mask & ~reach
+            raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
+            for at in range(0, len(raw), 1 << 20):
+                bits = np.flatnonzero(np.unpackbits(raw[at : at + (1 << 20)], bitorder="little"))
+                first[bits + 8 * at] = len(items)
+            reach |= new
             items.append((k, many))
-            left -= many
+            c -= many
             step *= 2
     below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
     beyond = reach >> (rest + 1)
     above = rest + 1 + ((beyond & -beyond).bit_length() - 1) if beyond else None
-    at = below if above is None or rest - below <= above - rest else above
+    at = reached = below if above is None or rest - below <= above - rest else above
     while at > 0:
         k, many = items[first[at]]
         take[k] += many
-        at -= int(size[k]) * many
+        at -= size[k] * many
+    return take, abs(reached - rest)
+
+
+def _spread(size: list[int], have: list[int], budget: int) -> list[int]:
+    """Counts in proportion to ``have`` whose sum is at most ``budget``."""
+    total, carry = sum(s * c for s, c in zip(size, have)), 0  # the carry is in units of size / total, so that all is exact
+    take = [0] * len(size)
+    for k, (s, c) in enumerate(zip(size, have)):
+        carry += s * c * budget
+        take[k] = min(c, carry // (s * total))
+        carry -= take[k] * s * total
+    return take
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, small: int = SMALL) -> np.ndarray:
+    """How many documents of each size to take so that the sizes add up to ``budget``, or to the nearest sum.
+
+    ``lengths`` are distinct and positive.  Nearly all of the budget is spread
+    in proportion to the counts; what remains is a bounded knapsack over what is
+    left of each size.  It is tried with the sizes of up to ``small`` alone
+    first, once larger ones have their share; only where that isn't exact, all
+    sizes take part and the table is as long as three of the largest size.
+    """
+    order = np.argsort(lengths)
+    unit = int(np.gcd.reduce(lengths)) if len(lengths) else 1
+    size, have = [int(x) // unit for x in lengths[order]], [int(x) for x in counts[order]]
+    total = sum(s * c for s, c in zip(size, have))
+    goal = max(0, min(round(int(budget) / unit), total))
     out = np.zeros(len(lengths), dtype=np.int64)
+    if not goal:
+        return out
+    if goal == total:
+        return counts.astype(np.int64)
+    off, few = 1, sum(s <= small for s in size)
+    if few:
+        # Sizes beyond the small ones, from the largest: their share of the goal, as far as the smaller ones can fill the rest.
+        take, rest, below = [0] * len(size), goal, total
+        for k in reversed(range(few, len(size))):
+            share, below = (2 * have[k] * rest + below) // (2 * below), below - size[k] * have[k]
+            take[k] = min(have[k], rest // size[k], max(share, -((below - rest) // size[k])))
+            rest -= size[k] * take[k]
+        if rest <= below:
+            take[:few] = _spread(size[:few], have[:few], max(0, rest - 2 * size[few - 1]))
+            rest -= sum(s * t for s, t in zip(size[:few], take))
+            fitted, off = _knapsack(size[:few], [h - t for h, t in zip(have, take[:few])], rest)
+            take = [t + n for t, n in zip(take, fitted)] + take[few:]
+    if off:
+        take = _spread(size, have, max(0, goal - 2 * size[-1]))
+        fitted, _ = _knapsack(size, [h - t for h, t in zip(have, take)], goal - sum(s * t for s, t in zip(size, take)))
+        take = [t + n for t, n in zip(take, fitted)]
     out[order] = take
     return out
 
