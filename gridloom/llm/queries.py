@@ -44,8 +44,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy drops, alone and with the others."""
+    return rules.ablation(rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    records = warc.archive_and_read(_table(spark, sf_dir, "pages"), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -155,6 +160,16 @@ FROM f
 """
 
 
+def ablation_sql() -> str:
+    """Failures, sole failures and rows kept with and without each rule, from the rows of ``OP7_SQL``."""
+    each = [
+        f"SELECT '{r.name}' AS rule, count(*) FILTER (failures & {1 << r.bit} <> 0) AS n_failed, count(*) FILTER (failures = {1 << r.bit}) AS n_failed_alone, "
+        f"count(*) FILTER (failures = 0) AS n_kept_with, count(*) FILTER (failures IN (0, {1 << r.bit})) AS n_kept_without FROM f"
+        for r in rules.RULES
+    ]
+    return OP7_SQL[: OP7_SQL.rindex("SELECT doc_id, n_words")] + " UNION ALL ".join(each)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -164,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mix": op5_source_mix,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "quality_rule_ablation": quality_rule_ablation,
         "op8_warc_archive": op8_warc_archive,
         "op9_simhash": op9_simhash,
         "op10_preference_pairs": op10_preference_pairs,
@@ -171,4 +187,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}
+    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "quality_rule_ablation": ablation_sql(), "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.plans.durable import durable
 from gridloom.plans.session import bounded_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -87,11 +88,12 @@ def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, the measurements and ``failures`` (one bit per failed rule).
 
-    One row per input row, no shuffle.  Null and empty texts measure zero and
+    Written once and read again, so that policies and ablations never come
+    back to the text.  One row per input row, no shuffle.  Null and empty texts measure zero and
     so fail ``few_words``; repeated rows stay; other columns aren't read.
     """
     measured = bounded_batches(docs).select(F.col(key), _measures(F.col(text)).alias("m")).select(key, "m.*")
-    return measured.withColumn("failures", failure_bits(rules))
+    return durable(measured.withColumn("failures", failure_bits(rules)), "rules-ledger")
 
 
 def apply_policy(rows: DataFrame, policy: str = "default-v1", rules: tuple[Rule, ...] = RULES) -> DataFrame:
