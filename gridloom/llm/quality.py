@@ -104,17 +104,6 @@ class GamModel:
 
         return scored(text)
 
-    def score_features(self, column: Column) -> Column:
-        model = self
-
-        @F.pandas_udf(T.DoubleType())
-        def scored(rows: pd.Series) -> pd.Series:
-            if not len(rows):
-                return pd.Series([], dtype="float64")
-            return pd.Series(model.score(np.stack(rows.to_list()).astype(np.float32)))
-
-        return scored(column)
-
 
 def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1])) if len(values) else np.zeros(0)
@@ -219,19 +208,20 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, x``: one row per input row, materialised once."""
-    return durable(bounded_batches(docs).select(F.col(key).alias("doc_id"), features(F.col(text)).alias("x")), "quality-features")
-
-
-def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> GamModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS, key: str = "doc_id", text: str = "text") -> GamModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold.
 
-    The rows are those with the smallest hashed ids, so reruns agree.  Null
-    labels are left out; a document that is labelled twice counts twice.
+    The rows are those with the smallest hashed ids, so reruns agree; only their
+    texts are featurised.  Null labels are left out; a document that is labelled
+    twice counts twice, and so does a repeated row.
     """
-    known = labels.select("doc_id", F.col(label).alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    rows = featured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).select("x", "y").toPandas()
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).filter("y IS NOT NULL AND id IS NOT NULL").filter(~held_out(F.col("id")))
+    ids = docs.select(F.col(key).alias("id")).join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+    chosen = durable(ids.distinct(), "quality-chosen")
+    # At most max_rows ids and labels.
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    found = durable(bounded_batches(rows).select("id", "y", features(F.col("text")).alias("x")), "quality-training")
+    rows = found.orderBy(F.xxhash64("id"), "id", "y", "x").limit(max_rows).select("x", "y").toPandas()
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return train(x, rows["y"].to_numpy(dtype=np.float64))
 
@@ -242,14 +232,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     Null and empty texts get the score of all-zero features.  Repeated rows
     are scored each; columns other than the id and the text aren't read.
     """
-    featured = featurize(docs)
-    model = fit(featured, labels)
-    return featured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score_features(F.col("x")).alias("score")).withColumn(
+    model = fit(docs, labels)
+    return bounded_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score_text(F.col("text")).alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, columns unchanged."""
-    model = fit(featurize(docs), labels)
+    model = fit(docs, labels)
     return bounded_batches(docs).filter(model.score_text(F.col("text")) >= threshold)
