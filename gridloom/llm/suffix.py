@@ -4,9 +4,9 @@ Every window of ``length`` bytes holds a byte string of ``SEED`` bytes with the
 least hash in it.  Equal windows hold it at the same place, so it is enough to
 look at the suffixes that start at such anchors:
 
-1.  Anchors are keyed by the hash of their seed.  Those that have the same
-    neighbourhood (all windows that the anchor stands for, by fingerprint) are
-    collapsed to the first: all the others are repeats, whole.
+1.  Anchors are keyed by the hash of their seed and their neighbourhood (all
+    windows that the anchor stands for, by fingerprint).  Those that agree in
+    both are collapsed to the first: all the others are repeats, whole.
 2.  The neighbourhoods that are left under one seed are sorted as suffixes, to
     the right of the anchor and, reversed, to its left: multikey quicksort to a
     shallow depth, blind tries below it.  The common prefixes of neighbours in
@@ -17,7 +17,7 @@ look at the suffixes that start at such anchors:
     cut into single windows, for which the minimum is the answer.
 
 Nothing but the neighbourhoods of step 2 is shuffled beside anchors, and the
-text once by id.
+text once by id.  Only in step 2 rows of one seed meet, up to ``CROWDED``.
 """
 
 from __future__ import annotations
@@ -137,12 +137,12 @@ def _sample(length: int, seed: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by key and neighbourhood: repeats (kind 0) and suffixes to sort (kind 1).
+    """From anchors sorted by neighbourhood: repeats (kind 0) and the first of each neighbourhood (kind 1).
 
     Rows stream through; of what came before only the first row of the current
-    neighbourhood is kept, however many rows a key has.
+    neighbourhood is kept, however many rows it has.
     """
-    keep: tuple[int, int, int, int, int, bool, bool] | None = None  # h, c, doc, tag, pack, sent, key has several
+    keep: tuple[int, int, int, int, int] | None = None  # h, c, doc, tag, pack
     for batch in batches:
         kind, h, c, doc, tag, pack = (batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "h", "c", "doc", "tag", "pack"))
         done = kind == 0
@@ -150,26 +150,36 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, doc, tag, pack = h[~done], c[~done], doc[~done], tag[~done], pack[~done]
         if len(h):
             if keep is not None:
-                h, c, doc, tag, pack = (np.concatenate(([k], x)) for k, x in zip(keep[:5], (h, c, doc, tag, pack)))
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
-            head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
-            group = np.cumsum(new_h) - 1
-            several = np.bincount(group, new_c) > 1
-            if keep is not None and keep[6]:
-                several[0] = True
-            send = new_c & several[group]
-            if keep is not None and keep[5]:
-                send[0] = False
-            again = ~new_c & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
-            for rows, mark in ((again, 0), (send, 1)):
+                h, c, doc, tag, pack = (np.concatenate(([k], x)) for k, x in zip(keep, (h, c, doc, tag, pack)))
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            again = ~new & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
+            if keep is not None:
+                new[0] = False  # it was handed on before
+            for rows, mark in ((again, 0), (new, 1)):
                 out.append((np.full(int(rows.sum()), mark, np.int8), h[rows], doc[rows], tag[rows], pack[rows]))
-            last = head[-1]
-            sent = bool(send[last]) or bool(last == 0 and keep is not None and keep[5])
-            keep = (h[last], c[last], doc[last], tag[last], pack[last], sent, bool(several[group[-1]]))
+            keep = tuple(x[head[-1]] for x in (h, c, doc, tag, pack))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "h", "doc", "tag", "pack"])
 
 
+def _neighbourhoods(length: int):
+    """The bytes of all windows of the anchors that are asked for, a text in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "doc", "tag", "pack", "near"]
+        for batch in batches:
+            for doc, tag, text, asked in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["asked"]):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                h, pack = (asked.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "pack"))
+                for at in range(0, len(h), 10_000):
+                    packs = pack[at : at + 10_000]
+                    near = [raw[p >> 14 : (p >> 14) + (p & 127) + length - 1] for p in packs.tolist()]
+                    n = len(packs)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at : at + n]), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, tag, np.int64)), pa.array(packs), pa.array(near, pa.binary())], names=names)
+
+    return run
+
+
 def _common(a: bytes, b: bytes) -> int:
     """Length of the common prefix of two byte strings."""
     n = min(len(a), len(b))
@@ -383,17 +393,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
     if not seed < length <= 127 or length - seed + 1 > 127:
         raise ValueError("windows of up to 127 bytes, longer than the seed")
     found = bounded_batches(rows).filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_sample(length, seed), ANCHOR)
-    dealt = found.repartition("h").sortWithinPartitions("h", "kind", "c", "doc", "tag", "pack")
+    # Dealt by neighbourhood, never by seed alone: a seed may stand in every text.
+    dealt = found.repartition("h", "c").sortWithinPartitions("h", "c", "kind", "doc", "tag", "pack")
     resolved = durable(dealt.mapInArrow(_resolve, "kind byte, h long, doc long, tag long, pack long"), "suffix-anchors")
-    first, many = _field("first"), _field("many")
     whole = resolved.filter("kind = 0").select("doc", *_extent(length))
-    open_ = resolved.filter("kind = 1")
-    asked = open_.select("doc", "tag", "h", "pack").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
+    firsts = resolved.filter("kind = 1")
+    several = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    open_ = firsts.join(several, "h")
+    asked = open_.groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
     # One row a text: the texts are dealt out by id once, here and where they are cut.
-    near = (
-        rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", F.explode("asked").alias("a")).select("doc", "tag", "text", "a.*")
-        .select("h", "doc", "tag", "pack", F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (many + length - 1).cast("int")).alias("near"))
-    )
+    texts = bounded_batches(rows.select("doc", "tag", "text").join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked"))
+    near = texts.mapInArrow(_neighbourhoods(length), "h long, doc long, tag long, pack long, near binary")
     near = durable(near.distinct(), "suffix-near")
     spans, calm, rows = whole, [], near
     for width in (BLOCK, 1):

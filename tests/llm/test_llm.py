@@ -337,6 +337,16 @@ def test_suffix_dedup_matches_brute_force(spark, crowded):
     assert [tuple(x)[1:] for x in got] == brute_removal(texts)
 
 
+def test_one_seed_in_every_text(spark):
+    r = random.Random(12)
+    seed = "the same words stand in each of the many texts, "
+    texts = [prose(r, r.randint(0, 12)) + seed + prose(r, r.randint(0, 12)) for _ in range(400)]
+    texts += [texts[k][:60] + texts[k + 1][60:] for k in range(0, 60, 2)] + [seed * 6, texts[3] + texts[5]]
+    for crowded in (2000, 50):
+        got = suffix.report(docs(spark, texts), crowded=crowded).orderBy("doc_id").collect()
+        assert [tuple(x)[1:] for x in got] == brute_removal(texts)
+
+
 def test_deep_shallow_order_and_common_prefixes():
     r = random.Random(8)
     texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))).encode() for _ in range(300)]
@@ -509,7 +519,7 @@ def test_preferences_share_their_prefix_once(spark):
     odd = [(0, "user", None), None, (1, None, "x"), (2, "assistant", None)]
     df = spark.createDataFrame([(5, odd, [*odd[:3], (2, "assistant", "yes")])], f"pair_id long, chosen {turn}, rejected {turn}")
     got = chat.preferences(df).first()
-    assert (got.n_common, got.prompt) == (2, "<|user|>\n<|end|>\n<||>\nx<|end|>\n") and (got.chosen_mask, got.rejected_mask) == ("13:21", "13:24")
+    assert (got.n_common, got.prompt) == (2, "<|user|>\n<|end|>\n<||>\nx<|end|>\n") and (got.chosen_mask, got.rejected_mask) == ("14:22", "14:25")
 
 
 def test_conversation_edges(spark):
