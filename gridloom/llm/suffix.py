@@ -4,9 +4,9 @@ Every window of ``length`` bytes holds a byte string of ``SEED`` bytes with the
 least hash in it.  Equal windows hold it at the same place, so it is enough to
 look at the suffixes that start at such anchors:
 
-1.  Anchors are keyed by the hash of their seed and their neighbourhood (all
-    windows that the anchor stands for, by fingerprint).  Those that agree in
-    both are collapsed to the first: all the others are repeats, whole.
+1.  Anchors are keyed by the hash of their seed.  Those that have the same
+    neighbourhood (all windows that the anchor stands for, by fingerprint) are
+    collapsed to the first: all the others are repeats, whole.
 2.  The neighbourhoods that are left under one seed are sorted as suffixes, to
     the right of the anchor and, reversed, to its left: multikey quicksort to a
     shallow depth, blind tries below it.  The common prefixes of neighbours in
@@ -46,6 +46,9 @@ BLOCK = 8
 STEP, HELD = 1 << 16, 400_000
 NO_ID = -(1 << 63)
 ANCHOR = "kind byte, h long, c long, doc long, tag long, pack long"
+ANCHOR_NAMES = [x.split()[0] for x in ANCHOR.split(", ")]
+#: One text in so many is looked at for seeds that stand in very many texts, and at most so many seeds are dealt apart.
+SHARE, MOST_OFTEN = 64, 100_000
 
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -137,28 +140,39 @@ def _sample(length: int, seed: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by neighbourhood: repeats (kind 0) and the first of each neighbourhood (kind 1).
+    """From anchors sorted by key and neighbourhood: repeats (kind 0) and suffixes to sort (kind 1).
 
     Rows stream through; of what came before only the first row of the current
-    neighbourhood is kept, however many rows it has.
+    neighbourhood is kept, however many rows a key has.  The first of a
+    neighbourhood is sent on if its key has several, as crowded keys (kind 2),
+    whose neighbourhoods are dealt apart, always do.
     """
-    keep: tuple[int, int, int, int, int] | None = None  # h, c, doc, tag, pack
+    keep: tuple[int, int, int, int, int, bool, bool] | None = None  # h, c, doc, tag, pack, sent, key has several
     for batch in batches:
         kind, h, c, doc, tag, pack = (batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "h", "c", "doc", "tag", "pack"))
         done = kind == 0
         out = [(np.zeros(int(done.sum()), np.int8), h[done], doc[done], tag[done], pack[done])]
-        h, c, doc, tag, pack = h[~done], c[~done], doc[~done], tag[~done], pack[~done]
+        crowded, h, c, doc, tag, pack = kind[~done] == 2, h[~done], c[~done], doc[~done], tag[~done], pack[~done]
         if len(h):
             if keep is not None:
-                h, c, doc, tag, pack = (np.concatenate(([k], x)) for k, x in zip(keep, (h, c, doc, tag, pack)))
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            again = ~new & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
-            if keep is not None:
-                new[0] = False  # it was handed on before
-            for rows, mark in ((again, 0), (new, 1)):
+                h, c, doc, tag, pack = (np.concatenate(([k], x)) for k, x in zip(keep[:5], (h, c, doc, tag, pack)))
+                crowded = np.concatenate(([False], crowded))
+            new_h = np.concatenate(([True], h[1:] != h[:-1]))
+            new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
+            head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
+            group = np.cumsum(new_h) - 1
+            several = (np.bincount(group, new_c) > 1) | (np.bincount(group, crowded) > 0)
+            if keep is not None and keep[6]:
+                several[0] = True
+            send = new_c & several[group]
+            if keep is not None and keep[5]:
+                send[0] = False
+            again = ~new_c & ((doc != doc[head]) | (tag != tag[head]) | (pack != pack[head]))
+            for rows, mark in ((again, 0), (send, 1)):
                 out.append((np.full(int(rows.sum()), mark, np.int8), h[rows], doc[rows], tag[rows], pack[rows]))
-            keep = tuple(x[head[-1]] for x in (h, c, doc, tag, pack))
+            last = head[-1]
+            sent = bool(send[last]) or bool(last == 0 and keep is not None and keep[5])
+            keep = (h[last], c[last], doc[last], tag[last], pack[last], sent, bool(several[group[-1]]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "h", "doc", "tag", "pack"])
 
 
@@ -384,7 +398,7 @@ def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
     )
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crowded: int = CROWDED) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crowded: int = CROWDED, share: int = SHARE) -> DataFrame:
     """``doc, tag, spans``: the byte ranges of ``keyed`` rows that occur earlier; they may overlap.
 
     Earlier is a smaller ``(doc, tag)``, or the same text and an earlier start.
@@ -392,17 +406,21 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, crow
     """
     if not seed < length <= 127 or length - seed + 1 > 127:
         raise ValueError("windows of up to 127 bytes, longer than the seed")
-    found = bounded_batches(rows).filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_sample(length, seed), ANCHOR)
-    # Dealt by neighbourhood, never by seed alone: a seed may stand in every text.
-    dealt = found.repartition("h", "c").sortWithinPartitions("h", "c", "kind", "doc", "tag", "pack")
-    resolved = durable(dealt.mapInArrow(_resolve, "kind byte, h long, doc long, tag long, pack long"), "suffix-anchors")
+    texts = rows.filter(F.octet_length("text") >= length).select("doc", "tag", "text")
+    found = bounded_batches(texts).mapInArrow(_sample(length, seed), ANCHOR)
+    # How anchors are dealt never changes the result.  Seeds that stand in very many texts are dealt by
+    # neighbourhood; which ones is estimated from a share of the texts, and their number is bounded.
+    some = bounded_batches(texts.filter(F.pmod(F.xxhash64("tag"), F.lit(share)) == 0)).mapInArrow(_sample(length, seed), ANCHOR)
+    often = some.filter("kind = 1").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * share > crowded)
+    often = durable(often.orderBy(F.desc("n"), "h").limit(MOST_OFTEN).select("h", F.lit(True).alias("often")), "suffix-often")
+    marked = found.join(F.broadcast(often), "h", "left").withColumn("kind", F.when((F.col("kind") == 1) & F.col("often"), 2).otherwise(F.col("kind")).cast("byte")).drop("often")
+    dealt = marked.repartition(F.when(F.col("kind") == 2, F.xxhash64("h", "c")).otherwise(F.col("h"))).sortWithinPartitions("h", "kind", "c", "doc", "tag", "pack")
+    resolved = durable(dealt.select(*ANCHOR_NAMES).mapInArrow(_resolve, "kind byte, h long, doc long, tag long, pack long"), "suffix-anchors")
     whole = resolved.filter("kind = 0").select("doc", *_extent(length))
-    firsts = resolved.filter("kind = 1")
-    several = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    open_ = firsts.join(several, "h")
+    open_ = resolved.filter("kind = 1")
     asked = open_.groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
     # One row a text: the texts are dealt out by id once, here and where they are cut.
-    texts = bounded_batches(rows.select("doc", "tag", "text").join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked"))
+    texts = bounded_batches(texts.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked"))
     near = texts.mapInArrow(_neighbourhoods(length), "h long, doc long, tag long, pack long, near binary")
     near = durable(near.distinct(), "suffix-near")
     spans, calm, rows = whole, [], near
@@ -460,7 +478,7 @@ def _original(doc: Column) -> Column:
     return F.when(doc != NO_ID, doc)
 
 
-def report(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", crowded: int = CROWDED, share: int = SHARE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every input row.
 
     A byte goes if a window of ``length`` bytes over it starts earlier too.
@@ -469,7 +487,7 @@ def report(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     get the same result and don't remove each other.
     """
     rows = keyed(docs, key, text)
-    found = rows.join(repeated_spans(rows, length, crowded=crowded), ["doc", "tag"], "left")
+    found = rows.join(repeated_spans(rows, length, crowded=crowded, share=share), ["doc", "tag"], "left")
     return found.select(_original(F.col("doc")).alias("doc_id"), _digest("text", "spans").alias("r")).select("doc_id", "r.*")
 
 

@@ -342,8 +342,8 @@ def test_one_seed_in_every_text(spark):
     seed = "the same words stand in each of the many texts, "
     texts = [prose(r, r.randint(0, 12)) + seed + prose(r, r.randint(0, 12)) for _ in range(400)]
     texts += [texts[k][:60] + texts[k + 1][60:] for k in range(0, 60, 2)] + [seed * 6, texts[3] + texts[5]]
-    for crowded in (2000, 50):
-        got = suffix.report(docs(spark, texts), crowded=crowded).orderBy("doc_id").collect()
+    for crowded, share in ((2000, 64), (50, 1), (5, 2)):
+        got = suffix.report(docs(spark, texts), crowded=crowded, share=share).orderBy("doc_id").collect()
         assert [tuple(x)[1:] for x in got] == brute_removal(texts)
 
 
