@@ -277,14 +277,14 @@ def _compare(similar: float):
 def _crowd_links(crowded: DataFrame, verifier: Verifier) -> tuple[DataFrame, DataFrame]:
     """Links within crowded balls, and ``rid, crowd``.
 
-    ``crowded`` has ``key, rid``.  Rows that share crowded balls are a crowd.
+    ``crowded`` has ``key, rid`` and ``first``, the smallest ``rid`` of the key.
+    Rows that share crowded balls are a crowd.
     All of it are compared with a few leaders, those in most of its balls: that
     leaves one large component and a rest.  The rest is compared with all of
     the crowd, block against block; only edges that join components come out.
     The components are those of all pairs of the crowd.
     """
-    stars = crowded.join(crowded.groupBy("key").agg(F.min("rid").alias("u")), "key").select("u", F.col("rid").alias("v")).distinct()
-    named = connected_components(stars).select(F.col("node").alias("rid"), F.col("component").alias("crowd"))
+    named = connected_components(crowded.select(F.col("first").alias("u"), F.col("rid").alias("v"))).select(F.col("node").alias("rid"), F.col("component").alias("crowd"))
     balls = crowded.groupBy("rid").agg(F.count("*").alias("balls"))
     members = durable(named.join(balls, "rid"), "simhash-crowds")
     order = F.struct("balls", (-F.col("rid")).alias("first"))
@@ -314,9 +314,9 @@ def similar_links(firsts: DataFrame, texts: DataFrame, similar: float = SIMILAR,
     """
     verifier = Verifier(firsts, texts, similar)
     keys = firsts.select("rid", F.posexplode("wide").alias("segment", "packed")).select("rid", F.explode(_ball(F.col("segment"), F.col("packed"))).alias("key"))
-    shared = durable(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shared")
+    shared = durable(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1"), "simhash-shared")
     met = durable(keys.join(shared, "key"), "simhash-met")
-    crowded = met.filter(F.col("n") > crowd).select("key", "rid")
+    crowded = met.filter(F.col("n") > crowd).select("key", "rid", "first")
     links, few = None, met.filter(F.col("n") <= crowd).select("key", "rid", F.col("rid").alias("crowd"))
     if not crowded.isEmpty():
         links, members = _crowd_links(crowded, verifier)
