@@ -162,12 +162,12 @@ def agg25(spark, d):
     return stats.heaviest(views.lab(spark, d), ["z"])
 
 
-@query("agg26_tissue_fraction", sql("""m AS (SELECT y, x, CASE WHEN v % 2 = 0 THEN 1.0 ELSE 0.0 END AS tissue FROM px WHERE z = 0),
-  t AS (SELECT a.i * 8 + b.i AS tile, a.i * 40 AS y0, a.i * 40 + 40 AS y1, b.i * 40 AS x0, b.i * 40 + 40 AS x1 FROM range(8) a(i), range(8) b(i))
+@query("agg26_tissue_fraction", sql("""m AS (SELECT z * 32 + y AS y, x, CASE WHEN v % 2 = 0 THEN 1.0 ELSE 0.0 END AS tissue FROM px),
+  t AS (SELECT a.i * 8 + b.i AS tile, a.i * 40 AS y0, a.i * 40 + 40 AS y1, b.i * 40 AS x0, b.i * 40 + 40 AS x1 FROM range(56) a(i), range(8) b(i))
   SELECT tile, round(avg(tissue), 6) AS fraction, count(*) AS n_cells FROM t JOIN m ON y >= y0 // 10 AND y < y1 // 10 AND x >= x0 // 10 AND x < x1 // 10 GROUP BY tile"""))
 def agg26(spark, d):
-    cells = views.px(spark, d).filter("z = 0").select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.expr("CASE WHEN v % 2 = 0 THEN 1.0D ELSE 0.0D END").alias("tissue"))
-    tiles = spark.range(64).selectExpr("id AS tile", "(id div 8) * 40 AS y0", "(id div 8) * 40 + 40 AS y1", "(id % 8) * 40 AS x0", "(id % 8) * 40 + 40 AS x1")
+    cells = views.px(spark, d).select((F.col("z") * 32 + F.col("y")).cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.expr("CASE WHEN v % 2 = 0 THEN 1.0D ELSE 0.0D END").alias("tissue"))
+    tiles = spark.range(448).selectExpr("id AS tile", "(id div 8) * 40 AS y0", "(id div 8) * 40 + 40 AS y1", "(id % 8) * 40 AS x0", "(id % 8) * 40 + 40 AS x1")
     return rounded(stats.tissue_fractions(cells, tiles, 10))
 
 

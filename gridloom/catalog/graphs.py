@@ -96,12 +96,12 @@ def grf06(spark, d):
 
 @query("grf07_gain_flood", None)
 def grf07(spark, d):
-    arcs = views.arcs(spark, d).filter("z < 2")
+    arcs = views.arcs(spark, d)
     return rounded(graph.flood_order(graph.join_costs(arcs, arcs.select("z").distinct().withColumn("node", F.lit(27)), gain=1.01)))
 
 
 def _ranked(spark, d):
-    arcs = views.arcs(spark, d).filter("z < 2")
+    arcs = views.arcs(spark, d)
     return arcs, graph.flood_order(graph.join_costs(arcs, arcs.select("z").distinct().withColumn("node", F.lit(27))))
 
 
@@ -279,8 +279,8 @@ def grf23(spark, d):
 @query("grf24_absorb", None)
 def grf24(spark, d):
     table, arcs, deaths = _tree(spark, d)
-    seeds = topology.cut_tree(deaths, table, 60.0, 1e9).filter("z = 0").select("z", F.col("basin").alias("node"))
-    return topology.absorb(seeds, arcs.filter("z = 0"))
+    seeds = topology.cut_tree(deaths, table, 60.0, 1e9).select("z", F.col("basin").alias("node"))
+    return topology.absorb(seeds, arcs)
 
 
 @query("grf27_never_cancelled", sql(f"{_DESCENT} SELECT z, basin FROM (SELECT z, basin, row_number() OVER (PARTITION BY z ORDER BY low, basin) AS r FROM bt) WHERE r = 1"))
@@ -349,7 +349,7 @@ def grf33(spark, d):
 
 @query("grf34_cheapest_paths", None)
 def grf34(spark, d):
-    t = seams.tolls(seams.affinity(seams.seam_table(_seams(spark, d)).filter("z = 0"), views.arcs(spark, d).filter("z = 0")))
+    t = seams.tolls(seams.affinity(seams.seam_table(_seams(spark, d)), views.arcs(spark, d)))
     seeds = t.filter("NOT closed").groupBy("z").agg(F.min("j0").alias("node"))
     return rounded(seams.cheapest_paths(t, seeds))
 
@@ -359,7 +359,7 @@ def grf35(spark, d):
     s = _seams(spark, d)
     scopes = spark.sql("SELECT * FROM VALUES (0, 1, 1, 0, 16, 0, 16), (0, 3, 2, 8, 32, 8, 32) t(z, uid, class, y0s, y1s, x0s, x1s)")
     scoped = seams.in_scope(seams.seam_boxes(s, 32), scopes)
-    traces = s.filter("z = 0 AND seam % 3 = 0").select("z", F.lit(2).alias("uid"), "crack")
+    traces = s.filter("seam % 3 = 0").select("z", F.lit(2).alias("uid"), "crack")
     traced = seams.coverage(s, traces).withColumn("class", F.lit(2))
     return seams.resolve(scoped, traced)
 

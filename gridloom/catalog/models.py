@@ -62,10 +62,16 @@ def mod06(spark, d):
     return rounded(learn.cross_validate(rows, ["area", "m", "b"], "y", "key", 3), digits=3)
 
 
-@query("mod07_permuted_column", sql("SELECT count(*) AS n, round(sum(mean_v), 2) AS total FROM regions"))
+@query("mod07_permutation_importance", None)
 def mod07(spark, d):
-    shuffled = learn.permuted(_rows(spark, d).select("key", "m"), "m", "key", 3)
-    return shuffled.agg(F.count("*").alias("n"), F.round(F.sum("m"), 2).alias("total"))
+    rows = learn.labeled_set(_rows(spark, d)).withColumn("y", F.col("class") - 1)
+    return rounded(learn.permutation_importance(rows, learn.fit_classifier(rows, ["area", "m", "b"], "y"), "y", "key"))
+
+
+@query("mod08_dense_network", None)
+def mod08(spark, d):
+    rows = learn.labeled_set(_rows(spark, d)).withColumn("y", F.col("class") - 1)
+    return learn.predict(learn.fit_classifier(rows, ["area", "m", "b"], "y", kind="mlp"), rows, ["z", "label"]).select("z", "label", "predicted")
 
 
 @query("mod10_pair_model", None)
@@ -230,8 +236,11 @@ def grf25(spark, d):
 
 @query("grf26_nearest_source", None)
 def grf26(spark, d):
-    arcs = views.arcs(spark, d).filter("z = 0").select("a", "b", F.col("length").cast("double").alias("w"))
-    return cells.nearest_source(arcs, spark.createDataFrame([(0,), (63,)], "node int"))
+    # Nodes of all slices in one graph: the slice is the upper part of a node's number.
+    node = lambda c: (F.col("z") * 4096 + F.col(c)).cast("long")
+    arcs = views.arcs(spark, d).select("z", node("a").alias("a"), node("b").alias("b"), F.col("length").cast("double").alias("w"))
+    sources = arcs.select("z").distinct().select(F.explode(F.array((F.col("z") * 4096).cast("long"), (F.col("z") * 4096 + 63).cast("long"))).alias("node"))
+    return cells.nearest_source(arcs.drop("z"), sources)
 
 
 @query("prj13_di_zenzo", None)

@@ -234,13 +234,13 @@ def ras19(spark, d):
 
 @query("mea01_gaussian_mixture", None)
 def mea01(spark, d):
-    return rounded(measure.gmm(views.px(spark, d).filter("z < 3"), "v", ["z"], rounds=8), digits=4)
+    return rounded(measure.gmm(views.px(spark, d), "v", ["z"]), digits=4)
 
 
 @query("mea03_hard_assignment", None)
 def mea03(spark, d):
-    p = views.px(spark, d).filter("z = 0")
-    return rounded(measure.hard_stats(p, measure.gmm(p, "v", ["z"], rounds=5), "v", ["z"]), digits=4)
+    p = views.px(spark, d)
+    return rounded(measure.hard_stats(p, measure.gmm(p, "v", ["z"]), "v", ["z"]), digits=4)
 
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.raster import AXES
 from gridloom.plans.durable import durable
@@ -230,27 +231,57 @@ def latent_ring(rows: DataFrame, arcs: DataFrame, latent: str = "latent", by: Se
     return sums.groupBy(*by, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("ring_latent"), F.avg("d").alias("ring_distance"))
 
 
-def single_linkage_shape(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kernel for one region: merge distances of its neighbours' latents by Prim's algorithm."""
-    points = np.stack(pdf["v"].to_list())
-    left, dist, merges = set(range(1, len(points))), np.linalg.norm(points - points[0], axis=1), []
-    while left:
-        k = min(left, key=lambda i: (dist[i], i))
+def single_linkage_shape(points: np.ndarray, threshold: float) -> tuple[float, float, float, int]:
+    """Largest merge, largest by second largest, distance of the first point to its nearest, and components above the threshold.
+
+    Merge distances of the points, by Prim's algorithm from the first one.
+    """
+    n = len(points)
+    if n < 2:
+        return 0.0, 1.0, 0.0, 1
+    dist = np.linalg.norm(points - points[0], axis=1)
+    attach, dist[0], merges = float(dist[1:].min()), np.inf, []
+    inside = np.zeros(n, bool)
+    inside[0] = True
+    for _ in range(n - 1):
+        k = int(dist.argmin())
         merges.append(float(dist[k]))
-        left.discard(k)
-        dist = np.minimum(dist, np.linalg.norm(points - points[k], axis=1))
+        inside[k] = True
+        dist = np.where(inside, np.inf, np.minimum(dist, np.linalg.norm(points - points[k], axis=1)))
     merges.sort(reverse=True)
-    largest = merges[0] if merges else 0.0
-    ratio = largest / merges[1] if len(merges) > 1 and merges[1] > 0 else 1.0
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "h0_largest": [largest], "h0_ratio": [ratio], "h0_points": [len(points)]})
+    second = merges[1] if n > 2 else 0.0
+    return merges[0], merges[0] / second if second > 1e-12 else 1.0, attach, 1 + sum(m > threshold for m in merges)
+
+
+_SHAPE = T.StructType([*(T.StructField(c, T.DoubleType()) for c in ("h0_largest", "h0_ratio", "h0_attach")), T.StructField("h0_components", T.LongType())])
 
 
-def neighbour_shapes(rows: DataFrame, arcs: DataFrame, latent: str = "latent", most: int = 24, by: Sequence[str] = ("z",)) -> DataFrame:
-    """Single-linkage shape of each region's neighbourhood, of at most ``most`` neighbours by id."""
-    ends = both_ways(arcs, by).join(rows.select(*by, F.col("label").alias("dst"), F.col(latent).alias("v")), [*by, "dst"])
-    first = ends.withColumn("r", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dst"))).filter(F.col("r") <= most)
-    keyed = first.select(F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.col("src").cast("string")).alias("label"), "r", F.col("v").cast("array<double>").alias("v"))
-    return keyed.groupBy("label").applyInPandas(lambda pdf: single_linkage_shape(pdf.sort_values("r")), "label string, h0_largest double, h0_ratio double, h0_points long")
+@F.pandas_udf(_SHAPE)
+def _shapes(own: pd.Series, ring: pd.Series, threshold: pd.Series) -> pd.DataFrame:
+    rows = []
+    for v, near, t in zip(own, ring, threshold):
+        points = [np.asarray(v, float), *(np.asarray(x, float) for x in near)] if near is not None else [np.asarray(v, float)]
+        rows.append(single_linkage_shape(np.stack(points), float(t)))
+    return pd.DataFrame(rows, columns=_SHAPE.names)
+
+
+def neighbour_shapes(rows: DataFrame, arcs: DataFrame, latent: str = "latent", most: int = 24, z: float = 1.0, by: Sequence[str] = ("z",)) -> DataFrame:
+    """Single-linkage shape of each region and its ring in latent space.
+
+    The points are the region's own and those of its ``most`` nearest
+    neighbours.  Merges above the mean and ``z`` deviations of the arc
+    distances of its slice part components.  A region without neighbours reads
+    0, 1, 0 and 1.
+    """
+    vector = F.col(latent).cast("array<double>")
+    ends = both_ways(arcs, by).select(*by, "src", "dst").distinct()
+    ends = ends.join(rows.select(*by, F.col("label").alias("src"), vector.alias("u")), [*by, "src"]).join(rows.select(*by, F.col("label").alias("dst"), vector.alias("v")), [*by, "dst"])
+    far = durable(ends.withColumn("d", F.sqrt(F.aggregate(F.zip_with("u", "v", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x))).select(*by, "src", "dst", "v", "d"), "shape-arcs")
+    limits = far.groupBy(*by).agg((F.avg("d") + z * F.stddev_pop("d")).alias("t"))
+    near = far.withColumn("r", F.row_number().over(Window.partitionBy(*by, "src").orderBy("d", "dst"))).filter(F.col("r") <= most)
+    rings = near.groupBy(*by, F.col("src").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("ring"))
+    whole = rows.select(*by, "label", vector.alias("own")).join(rings, [*by, "label"], "left").join(limits, list(by), "left")
+    return whole.select(*by, "label", _shapes("own", "ring", F.coalesce("t", F.lit(0.0))).alias("s")).select(*by, "label", "s.*")
 
 
 def walk_ends(arcs: DataFrame, starts: DataFrame, hops: int, seed: int = 0, by: Sequence[str] = ("z",)) -> DataFrame:

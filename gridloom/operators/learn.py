@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -64,35 +65,95 @@ def metrics(scored: DataFrame, label: str = "y", p: str = "p", by: Sequence[str]
     return out.join(auc, list(by)) if by else out.crossJoin(F.broadcast(auc))
 
 
-def assemble(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(rows)
-
-
-def fit_classifier(rows: DataFrame, columns: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None, layers: Sequence[int] = (16,), reg: float = 0.01, seed: int = 0):
-    """A fitted pipeline: assemble, standardise, logistic regression or a dense network."""
-    from pyspark.ml import Pipeline
+def finite(columns: Sequence[str]) -> Column:
+    """The columns as one array; nulls, NaN and infinities become 0, so that no row is lost."""
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    values = [F.col(c).cast("double") for c in columns]
+    return F.array(*[F.when(bad(v), F.lit(0.0)).otherwise(v) for v in values])
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """What a fit has learned: linear scores of standardised columns, or a dense network."""
+
+    columns: tuple[str, ...]
+    mean: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+    weights: tuple[tuple[float, ...], ...] = ()
+    bias: tuple[float, ...] = ()
+    constant: int | None = None
+    network: object = None
+
+    def probabilities(self) -> Column:
+        """``p ARRAY<DOUBLE>`` of a linear model, as one expression over the columns."""
+        if self.constant is not None:
+            return F.array(*[F.lit(float(k == self.constant)) for k in range(max(2, self.constant + 1))])
+        x = finite(self.columns)
+        rows = []
+        for w, b in zip(self.weights, self.bias):
+            score = F.lit(float(b))
+            for k, (c, m, s) in enumerate(zip(w, self.mean, self.scale)):
+                score = score + F.lit(float(c)) * (F.get(x, F.lit(k)) - F.lit(float(m))) * F.lit(float(s))
+            rows.append(score)
+        if len(rows) == 1:
+            p = 1 / (1 + F.exp(-rows[0]))
+            return F.array(1 - p, p)
+        # A softmax against the largest score, so that nothing overflows.
+        top = F.greatest(*rows)
+        powers = [F.exp(r - top) for r in rows]
+        return F.transform(F.array(*powers), lambda e: e / sum(powers[1:], powers[0]))
+
+
+def fit_classifier(rows: DataFrame, columns: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None, layers: Sequence[int] = (16,), reg: float = 0.01, seed: int = 0) -> Fitted:
+    """Standardise, then logistic regression or a dense network, fitted on the cluster.
+
+    Values that aren't finite count as 0.  Of rows with one label only the model
+    is that label; without rows it is label 0.
+    """
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    steps = [VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    if kind == "logistic":
-        model = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=50)
-        steps.append(model.setWeightCol(weight) if weight else model)
-    elif kind == "mlp":
-        k = int(rows.agg(F.max(label)).first()[0]) + 1
-        steps.append(MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[len(columns), *layers, k], seed=seed, maxIter=100))
-    else:
-        raise ValueError("kinds are logistic and mlp")
-    return Pipeline(stages=steps).fit(rows)
-
-
-def predict(model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep``, ``p ARRAY<DOUBLE>`` and ``predicted``."""
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
 
-    return model.transform(rows).select(*keep, vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("predicted"))
+    if kind not in ("logistic", "mlp"):
+        raise ValueError("kinds are logistic and mlp")
+    low, high = rows.agg(F.min(label), F.max(label)).first()
+    if low == high:
+        return Fitted(tuple(columns), constant=int(high or 0))
+    raw = rows.filter(F.col(label).isNotNull()).withColumn("__raw", array_to_vector(finite(columns)))
+    scaler = StandardScaler(inputCol="__raw", outputCol="__features", withMean=True).fit(raw)
+    mean, scale = tuple(scaler.mean), tuple(1 / s if s else 0.0 for s in scaler.std)
+    ready = scaler.transform(raw)
+    if kind == "mlp":
+        network = MultilayerPerceptronClassifier(labelCol=label, featuresCol="__features", layers=[len(columns), *layers, int(high) + 1], seed=seed, maxIter=100).fit(ready)
+        return Fitted(tuple(columns), mean, scale, network=network)
+    model = LogisticRegression(labelCol=label, featuresCol="__features", regParam=reg, maxIter=50)
+    model = (model.setWeightCol(weight) if weight else model).fit(ready)
+    return Fitted(tuple(columns), mean, scale, tuple(map(tuple, model.coefficientMatrix.toArray())), tuple(model.interceptVector))
+
+
+def predict(model: Fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``p ARRAY<DOUBLE>`` and ``predicted``, a row a row of ``rows``."""
+    if model.network is not None:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        x = finite(model.columns)
+        standard = F.array(*[(F.get(x, F.lit(k)) - F.lit(float(m))) * F.lit(float(s)) for k, (m, s) in enumerate(zip(model.mean, model.scale))])
+        scored = model.network.transform(rows.withColumn("__features", array_to_vector(standard)))
+        return scored.select(*keep, vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("predicted"))
+    scored = rows.withColumn("__p", model.probabilities())
+    return scored.select(*keep, F.col("__p").alias("p"), (F.array_position("__p", F.array_max("__p")) - 1).cast("int").alias("predicted"))
+
+
+def permutation_importance(rows: DataFrame, model: Fitted, label: str, key: str, repeats: int = 3) -> DataFrame:
+    """``column, importance``: how much the accuracy falls, on average, when a column is shuffled."""
+    hit = lambda df: df.agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"))
+    base = hit(predict(model, rows, [label])).select(F.col("accuracy").alias("base"))
+    out = None
+    for column in model.columns:
+        for seed in range(repeats):
+            one = hit(predict(model, permuted(rows, column, key, seed), [label])).withColumn("column", F.lit(column))
+            out = one if out is None else out.union(one)
+    return out.crossJoin(F.broadcast(base)).groupBy("column").agg(F.avg(F.col("base") - F.col("accuracy")).alias("importance"))
 
 
 def cross_validate(rows: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 3, **options) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.ranking import global_rank
+
 OPS = ("lt", "le", "gt", "ge", "eq", "between")
 _SIGNS = {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "==": "eq"}
 
@@ -148,8 +150,12 @@ def crop(df: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
 
 
 def subsample(df: DataFrame, key: str, factor: int, seed: int = 0) -> DataFrame:
-    """About one row in ``factor``, chosen by a seeded hash of ``key``."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(factor)) == 0)
+    """One row in ``factor``, rounded down, and at least ten (or all there are): those of least seeded hash of the unique ``key``."""
+    if factor <= 1:
+        return df
+    ranked = global_rank(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), "__h", key, out="__r")
+    total = ranked.agg(F.greatest(F.floor(F.count("*") / factor), F.lit(10)).alias("__most"))
+    return ranked.crossJoin(F.broadcast(total)).filter(F.col("__r") <= F.col("__most")).drop("__h", "__r", "__most")
 
 
 def drop_regions(rows: DataFrame, arcs: DataFrame, rule: str, ident: str = "label") -> tuple[DataFrame, DataFrame]:
