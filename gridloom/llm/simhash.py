@@ -284,7 +284,10 @@ def _crowd_links(crowded: DataFrame, verifier: Verifier) -> tuple[DataFrame, Dat
     the crowd, block against block; only edges that join components come out.
     The components are those of all pairs of the crowd.
     """
-    named = connected_components(crowded.select(F.col("first").alias("u"), F.col("rid").alias("v"))).select(F.col("node").alias("rid"), F.col("component").alias("crowd"))
+    # A row has a fixed number of keys.  With the least of their firsts as centre, rows of a crowd share most of their edges.
+    firsts = crowded.groupBy("rid").agg(F.collect_set("first").alias("firsts"))
+    stars = firsts.select(F.array_min("firsts").alias("u"), F.explode(F.array_append("firsts", F.col("rid"))).alias("v")).distinct()
+    named = connected_components(stars).select(F.col("node").alias("rid"), F.col("component").alias("crowd"))
     balls = crowded.groupBy("rid").agg(F.count("*").alias("balls"))
     members = durable(named.join(balls, "rid"), "simhash-crowds")
     order = F.struct("balls", (-F.col("rid")).alias("first"))
