@@ -15,22 +15,23 @@ from gridloom.views import sql, table
 
 
 def _rows(spark, d):
-    t = views.blocks(spark, d).groupBy("z", "label").agg(F.count("*").cast("double").alias("area"), F.avg("v").alias("m"), F.max("v").alias("hi"), F.avg("b").alias("b"))
-    return t.withColumn("key", F.col("z") * 64 + F.col("label")).withColumn("class", F.expr("cast(CASE WHEN label % 3 = 0 THEN 0 WHEN hi > 330 THEN 2 ELSE 1 END AS int)"))
+    t = views.blocks(spark, d).groupBy("z", "label").agg(F.count("*").cast("double").alias("area"), F.avg("v").alias("m"), F.max("v").alias("hi"), F.avg("b").alias("b"), F.sum("b").alias("sb"), F.sum("n").alias("sn"))
+    # A mean of four divides the rows at every scale of the tables.
+    return t.withColumn("key", F.col("z") * 64 + F.col("label")).withColumn("class", F.expr("cast(CASE WHEN label % 3 = 0 THEN 0 WHEN sb > 4 * sn THEN 2 ELSE 1 END AS int)"))
 
 
-@query("mod01_training_set", sql("SELECT z, label, CASE WHEN hi > 330 THEN 2 ELSE 1 END AS class FROM regions WHERE label % 3 <> 0"))
+@query("mod01_training_set", sql("SELECT z, label, CASE WHEN sb > 4 * sn THEN 2 ELSE 1 END AS class FROM regions WHERE label % 3 <> 0"))
 def mod01(spark, d):
     return learn.labeled_set(_rows(spark, d)).select("z", "label", "class")
 
 
-@query("mod02_edge_training_set", sql("""c AS (SELECT z, label, CASE WHEN label % 3 = 0 THEN 0 WHEN hi > 330 THEN 2 ELSE 1 END AS class FROM regions)
+@query("mod02_edge_training_set", sql("""c AS (SELECT z, label, CASE WHEN label % 3 = 0 THEN 0 WHEN sb > 4 * sn THEN 2 ELSE 1 END AS class FROM regions)
   SELECT arcs.z, a, b, (x.class <> y.class)::INT AS differs FROM arcs JOIN c x ON x.z = arcs.z AND x.label = a JOIN c y ON y.z = arcs.z AND y.label = b WHERE x.class > 0 AND y.class > 0"""))
 def mod02(spark, d):
     return learn.edge_set(graph.attach(views.arcs(spark, d), _rows(spark, d), ["class"])).select("z", "a", "b", "differs")
 
 
-@query("mod03_balanced_weights", sql("""c AS (SELECT z, label, CASE WHEN hi > 330 THEN 2 ELSE 1 END AS class FROM regions WHERE label % 3 <> 0)
+@query("mod03_balanced_weights", sql("""c AS (SELECT z, label, CASE WHEN sb > 4 * sn THEN 2 ELSE 1 END AS class FROM regions WHERE label % 3 <> 0)
   SELECT z, label, round(count(*) OVER () / ((SELECT count(DISTINCT class) FROM c) * count(*) OVER (PARTITION BY class)), 6) AS weight FROM c"""))
 def mod03(spark, d):
     return rounded(learn.balanced_weights(learn.labeled_set(_rows(spark, d)), "class").select("z", "label", "weight"))

@@ -68,7 +68,7 @@ px AS (
 ), arcs AS (
   SELECT z, a, b, min(w) AS saddle, count(*) AS length FROM touching GROUP BY z, a, b
 ), regions AS (
-  SELECT z, label, count(*) AS area, sum(v) AS s, sum(v * v) AS ss, min(v) AS lo, max(v) AS hi, sum(v) / count(*) AS mean_v, sum(g) / count(*) AS mean_g FROM blocks GROUP BY z, label
+  SELECT z, label, count(*) AS area, sum(v) AS s, sum(v * v) AS ss, min(v) AS lo, max(v) AS hi, sum(v) / count(*) AS mean_v, sum(g) / count(*) AS mean_g, sum(b) AS sb, sum(n) AS sn FROM blocks GROUP BY z, label
 )"""
 
 
