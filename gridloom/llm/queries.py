@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, licenses, mixing, quality, rules, simhash, suffix, urls, warc
+from gridloom.llm import chat, decontam, interaction, licenses, mainhtml, mixing, periodic, quality, rules, simhash, suffix, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(chat.swapped_pairs(_table(spark, sf_dir, "conversations")))
 
 
+def op11_main_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(interaction.mask_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -183,8 +195,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_archive": op8_warc_archive,
         "op9_simhash": op9_simhash,
         "op10_preference_pairs": op10_preference_pairs,
+        "op11_main_html": op11_main_html,
+        "op12_filter_interaction": op12_filter_interaction,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "quality_rule_ablation": ablation_sql(), "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL}
+    return {"op1_license_scan": licenses.oracle(), "op3_decontamination": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "quality_rule_ablation": ablation_sql(), "op8_warc_archive": OP8_SQL, "op10_preference_pairs": chat.SQL, "op11_main_html": mainhtml.SQL, "op12_filter_interaction": interaction.SQL, "op13_periodic_runs": periodic.SQL}
