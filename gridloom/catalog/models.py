@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridloom import views
@@ -193,32 +191,51 @@ def snk01(spark, d):
     return encoded.select("z", sums("content").alias("s")).select("z", F.get("s", F.lit(0)).alias("total"), F.get("s", F.lit(1)).cast("long").alias("n"))
 
 
-@query("str01_reorder_buffer", "SELECT user_id % 8 AS sequence, i::BIGINT AS index FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS i FROM events)")
+@query("str01_reorder_buffer", """SELECT sequence, i::BIGINT AS index, i > 7 + sequence AS flushed
+  FROM (SELECT user_id % 8 AS sequence, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS i FROM events) WHERE i <> 7 + sequence""")
 def str01(spark, d):
+    """Slices in random order, one of each sequence lost: what waits behind the gap is flushed once time has moved on."""
     from pyspark.sql import Window
 
-    from gridloom.streaming.ordered import drain, reorder
+    from gridloom.streaming.stateful import in_order, to_parquet
 
     path = fresh_path(spark, "stream")
     w = Window.partitionBy(F.expr("user_id % 8")).orderBy("event_id")
-    rows = table(spark, d, "events").select(F.expr("user_id % 8").alias("sequence"), (F.row_number().over(w) - 1).cast("long").alias("index"))
-    rows.orderBy(F.xxhash64("sequence", "index")).repartition(4).write.parquet(path)
-    stream = spark.readStream.schema("sequence long, index long").option("maxFilesPerTrigger", 1).parquet(path)
-    return drain(spark, reorder(stream), f"reorder_{uuid.uuid4().hex}").select("sequence", "index")
+    rows = table(spark, d, "events").select(F.expr("user_id % 8").alias("sequence"), (F.row_number().over(w) - 1).cast("long").alias("index")).filter("index <> 7 + sequence")
+    arrived = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("sequence", "index"), F.lit(60))))
+    arrived.repartition(4, "index").write.parquet(path)
+    # A beat of a sequence without slices, a day later, moves the watermark past the patience.
+    arrived.limit(1).select(F.lit(-1).cast("long").alias("sequence"), F.lit(-1).cast("long").alias("index"), F.timestamp_seconds(F.lit(1_700_086_400)).alias("ts")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("sequence long, index long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return to_parquet(in_order(stream, time="ts", late="1 hour"), "reordered")
+
+
+def _event_stream(spark, d):
+    """The events as a stream of four files by day, and behind them one far in the future that closes all windows."""
+    path = fresh_path(spark, "events")
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    events.limit(1).select("event_id", F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), "value").write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("str03_tumbling_window", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def str03(spark, d):
     from gridloom.streaming.ordered import windowed
+    from gridloom.streaming.stateful import to_parquet
 
-    return windowed(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+    # Files of a trigger may come in any order, so nothing is late within the span of the events.
+    closed = to_parquet(windowed(_event_stream(spark, d), late="4000 days"), "windows")
+    return closed.filter("event_type <> 'end'").withColumn("total", F.round("total", 4))
 
 
-@query("str03_session_window", None)
+@query("str03_session_window", """WITH o AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, count(*) AS n, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop FROM g GROUP BY user_id, k""")
 def str03_sessions(spark, d):
     from gridloom.streaming.ordered import sessions
+    from gridloom.streaming.stateful import to_parquet
 
-    return sessions(table(spark, d, "events")).select("user_id", "n", "start", "stop")
+    return to_parquet(sessions(_event_stream(spark, d), late="4000 days"), "sessions").filter("user_id >= 0").select("user_id", "n", "start", "stop")
 
 
 @query("grf29_volume_basins", None)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from gridloom import views
 from gridloom.catalog import query, rounded
+from gridloom.catalog.graphs import LINK6, MASK
 from gridloom.functions import scalars
 from gridloom.operators import context, gestures, graph, learn, linking, measure, predicate, raster, seams, stats, topology
 from gridloom.operators.predicate import PixelRule, Query
 from gridloom.plans import cards, spec, workflow
-from gridloom.plans.durable import fresh_path
+from gridloom.plans.durable import durable, fresh_path
 from gridloom.sources import files, tiff
 from gridloom.views import sql, table
 
@@ -277,9 +278,17 @@ def str06(spark, d):
     return spark.read.option("header", True).csv(f"{out}/batch=*").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("str02_incremental_linking", None)
+@query("str02_incremental_linking", sql(f"{MASK}, {LINK6} SELECT DISTINCT z AS slice_index, component AS segment_id, global_id::INT AS global_id FROM linked"))
 def str02(spark, d):
-    return linking.feature_map(linking.assign_global(linking.slice_components(views.mask(spark, d), 6), 6))
+    """Slices arrive one file a trigger; ids are final once the last is in."""
+    from gridloom.streaming.stateful import final_ids, link_stream, to_parquet
+
+    path = fresh_path(spark, "slices")
+    labelled = durable(linking.slice_components(views.mask(spark, d), 6).select(F.lit(0).cast("long").alias("volume"), "z", "y", "x", "component"), "slices")
+    for z in range(7):
+        labelled.filter(F.col("z") == z).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(labelled.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return final_ids(to_parquet(link_stream(stream, 6, tile=16), "linked")).drop("volume")
 
 
 @query("udf01_filter_registry", "SELECT * FROM (VALUES ('blur'), ('close'), ('derivative'), ('dilate'), ('erode'), ('gradmag'), ('laplacian'), ('none'), ('open'), ('zero_crossings')) t(name)")
