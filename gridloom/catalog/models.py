@@ -213,7 +213,7 @@ def str01(spark, d):
 def _event_stream(spark, d):
     """The events as a stream of four files by day, and behind them one far in the future that closes all windows."""
     path = fresh_path(spark, "events")
-    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     events.repartitionByRange(4, "ts").write.parquet(path)
     events.limit(1).select("event_id", F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), "value").write.mode("append").parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -226,7 +226,7 @@ def str03(spark, d):
 
     # Files of a trigger may come in any order, so nothing is late within the span of the events.
     closed = to_parquet(windowed(_event_stream(spark, d), late="4000 days"), "windows")
-    return closed.filter("event_type <> 'end'").withColumn("total", F.round("total", 4))
+    return closed.filter("event_type <> 'end'").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("str03_session_window", """WITH o AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -235,7 +235,7 @@ def str03_sessions(spark, d):
     from gridloom.streaming.ordered import sessions
     from gridloom.streaming.stateful import to_parquet
 
-    return to_parquet(sessions(_event_stream(spark, d), late="4000 days"), "sessions").filter("user_id >= 0").select("user_id", "n", "start", "stop")
+    return to_parquet(sessions(_event_stream(spark, d), late="4000 days"), "sessions").filter("user_id >= 0").select("user_id", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "stop")])
 
 
 @query("grf29_volume_basins", None)

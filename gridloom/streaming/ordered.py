@@ -1,38 +1,9 @@
-"""Slices that arrive out of order, released in sequence; windows over events."""
+"""Windows over events, and batches appended to files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def reorder(slices: DataFrame, sequence: str = "sequence", index: str = "index") -> DataFrame:
-    """``sequence, index, released``: each index once all before it are there.
-
-    The state of a sequence is the next index and those that wait for it.  A
-    duplicate of a released index is dropped.
-    """
-
-    def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, waiting = state.get if state.exists else (0, "")
-        held = {int(v) for v in waiting.split(",") if v}
-        for pdf in batches:
-            held |= {int(v) for v in pdf[index] if v >= expected}
-        out = []
-        while expected in held:
-            held.discard(expected)
-            out.append((key[0], expected, len(out)))
-            expected += 1
-        state.update((expected, ",".join(map(str, sorted(held)))))
-        yield pd.DataFrame(out, columns=[sequence, index, "released"])
-
-    return slices.groupBy(sequence).applyInPandasWithState(
-        release, f"{sequence} long, {index} long, released long", "expected long, waiting string", "append", GroupStateTimeout.NoTimeout
-    )
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "2 days", key: str = "event_type") -> DataFrame:
@@ -45,13 +16,6 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "user_id", "n")
 
 
-def drain(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and return its rows from memory; for tests and small tables."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def append_batches(df: DataFrame, path: str, checkpoint: str):
     """Append every micro-batch as CSV; a batch that is run again replaces its own folder."""
 

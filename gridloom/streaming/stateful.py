@@ -40,8 +40,8 @@ def to_parquet(df: DataFrame, label: str = "stream", mode: str = "append") -> Da
 class InOrder(StatefulProcessor):
     """The next index of a sequence, and a list of those that wait for one before them."""
 
-    def __init__(self, columns: tuple[str, str], patience_ms: int | None) -> None:
-        self.columns, self.patience_ms = columns, patience_ms
+    def __init__(self, columns: tuple[str, str], time: str | None, patience_ms: int) -> None:
+        self.columns, self.time, self.patience_ms = columns, time, patience_ms
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -65,15 +65,16 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at = self.expected.get()[0] if self.expected.exists() else 0
-        held = self._held()
+        held, newest = self._held(), 0
         for pdf in rows:
             held |= {int(v) for v in pdf[self.columns[1]] if v >= at}
+            newest = max(newest, int(pdf[self.time].max().timestamp() * 1000)) if self.time else 0
         yield from self._release(key, held, False)
-        if self.patience_ms is not None:
+        if self.time:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if self._held():
-                self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + self.patience_ms)
+                self.handle.registerTimer(newest + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._release(key, self._held(), True)
@@ -86,14 +87,14 @@ def in_order(slices: DataFrame, sequence: str = "sequence", index: str = "index"
     """``sequence, index, flushed``: each index once all before it are there.
 
     Indices start at 0; those already released and repeats are dropped.  With
-    ``time``, what still waits when the watermark has moved on by the patience
-    is released over the gap (``flushed``), and what fills the gap later is
-    dropped.  State: one number and the waiting indices of a sequence.
+    ``time``, what still waits when the watermark is the patience past the last
+    arrival is released over the gap (``flushed``), and what would have filled
+    it is dropped if it comes in a later trigger.  State: one number and the waiting indices of a sequence.
     """
     kept = slices.select(F.col(sequence).cast("long").alias(sequence), F.col(index).cast("long").alias(index), *([time] if time else []))
     kept = kept.withWatermark(time, late) if time else kept
     return kept.groupBy(sequence).transformWithStateInPandas(
-        statefulProcessor=InOrder((sequence, index), patience_ms if time else None), outputStructType=f"{sequence} long, {index} long, flushed boolean",
+        statefulProcessor=InOrder((sequence, index), time, patience_ms), outputStructType=f"{sequence} long, {index} long, flushed boolean",
         outputMode="append", timeMode="EventTime" if time else "None",
     )
 
