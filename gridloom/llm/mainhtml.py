@@ -143,7 +143,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if not hidden:
                 text.append(piece)
                 if in_link:
-                    links.append(piece)
+                    links.append(piece + " ")
             continue
         if not name:
             continue
