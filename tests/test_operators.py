@@ -479,3 +479,17 @@ def test_context_names_and_order(spark):
     assert context.augment(t, arcs, []) is t and context.sources_of(t, "ext") == ["ext_b"]
     with pytest.raises(ValueError):
         context.augment(t, arcs, ["nonsense"])
+
+
+def test_ranks_and_minima_within_hot_groups(spark):
+    from gridloom.plans.ranking import least_before, rank_within
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), k, rng.randrange(1000)) for k in range(600)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(7)
+    ranked = {(r.g, r.k): r.rank for r in rank_within(df, ["g"], ["k"]).collect()}
+    least = {(r.g, r.k): r.least for r in least_before(df, ["g"], ["k"], "v").collect()}
+    for g in ("hot", "a", None):
+        own = sorted((k, v) for h, k, v in rows if h == g)
+        for at, (k, _) in enumerate(own):
+            assert ranked[g, k] == at + 1 and least[g, k] == min((v for _, v in own[:at]), default=None)
