@@ -18,6 +18,7 @@ Work starts from distinct fingerprints or sets: copies meet no one.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -123,14 +124,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """``doc_id, fp, component_id``: groups of documents linked within ``radius`` bits.
 
     One row per input row.  ``component_id`` is the smallest id reachable.
-    Texts without words share fingerprint zero.  A row whose id is null keeps
-    its fingerprint and gets the component of that fingerprint; its component
-    is null if all that it is linked to have null ids.
+    Texts without words share fingerprint zero.  Rows whose id is null link
+    like any others, so they may bridge two; ``component_id`` is null only where
+    nothing that is reachable has an id.
     """
     marked = durable(fingerprints(docs, key, text), "simhash-fp")
-    fps = durable(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    roots = connected_components(links(fps, radius, bucket)).withColumnRenamed("node", "rep")
-    placed = durable(fps.join(roots, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-placed")
+    # The fingerprint itself is the node: rows without ids have one as well.
+    fps = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("rep", F.col("fp")), "simhash-distinct")
+    roots = durable(connected_components(links(fps.select("fp", "rep"), radius, bucket)).withColumnRenamed("node", "fp"), "simhash-roots")
+    least = fps.join(roots, "fp").groupBy("component").agg(F.min("first").alias("least"))
+    named = roots.join(least, "component").select("fp", "least")
+    placed = durable(fps.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-placed")
     return marked.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -140,7 +144,7 @@ WIDTH, SIMILAR = 5, 0.8
 SEGMENTS, UNSURE, FLIPS = 16, 6, 2
 #: Texts that share 0.8 of their shingles differ in 78 of the 512 bits with a deviation of 8.
 FAR = 128
-#: In balls of more rows, all are compared with LEADERS of them first; BLOCKS are rows of either side of a comparison.
+#: In balls of more rows (and of more than meet by chance, see crowd_size), all are compared with LEADERS of them first; BLOCKS are rows of either side of a comparison.
 CROWD, LEADERS, BLOCKS = 8, 4, (128, 512)
 
 _WORDS = SEGMENTS * 32 // 64
@@ -308,13 +312,25 @@ def _crowd_links(crowded: DataFrame, verifier: Verifier) -> tuple[DataFrame, Dat
     return met.union(durable(found, "simhash-blocks")), members.select("rid", "crowd")
 
 
+def crowd_size(texts: int, least: int = CROWD) -> int:
+    """Rows that a ball must exceed to be a crowd.
+
+    A key of 32 bits brings a ball ``texts * 22 / 2**32`` unrelated rows by
+    chance.  The bound stays eight deviations above twice that, so that balls of
+    unrelated rows are compared in pairs, inside the ball, and join no crowd.
+    """
+    chance = texts * (1 + UNSURE + UNSURE * (UNSURE - 1) // 2) / 2**32
+    return max(least, math.ceil(2 * chance + 8 * math.sqrt(chance))) if chance > 0.01 else least
+
+
 def similar_links(firsts: DataFrame, texts: DataFrame, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """Edges ``(u, v)`` whose components are those of all verified pairs that meet in a ball.
 
     ``firsts`` has ``rid, n, wide``, one row a distinct set of shingles, and
-    ``texts`` has ``rid, text``.  Balls of up to ``crowd`` rows are compared in
-    pairs; rows of larger ones form crowds.
+    ``texts`` has ``rid, text``.  Balls of up to ``crowd`` rows, or more where
+    more meet by chance, are compared in pairs; rows of larger ones form crowds.
     """
+    crowd = crowd_size(firsts.count(), crowd)
     verifier = Verifier(firsts, texts, similar)
     keys = firsts.select("rid", F.posexplode("wide").alias("segment", "packed")).select("rid", F.explode(_ball(F.col("segment"), F.col("packed"))).alias("key"))
     shared = durable(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1"), "simhash-shared")
