@@ -92,24 +92,27 @@ def unigrams(texts: DataFrame, text: str = "text") -> DataFrame:
 def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
     """``label, words`` for distinct ``label`` under the unigrams ``word, n``.
 
-    Every substring of a label that is a word counts: those of up to ``STEM``
-    characters are joined as they are, longer ones by their first characters.
+    Every substring of a label that is a word counts.  A label is cut once, into
+    the ``STEM`` characters from each of its places, which travel with a digest
+    of it; their beginnings are joined with the words of up to ``STEM``
+    characters.  A longer word whose first ``STEM`` characters occur is handed to
+    the label's search as well, where it counts only if it stands there whole.
     """
     total = int(words.agg(F.sum("n")).first()[0] or 1)
-    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)))).alias("b"))
-    room = F.length("label") - F.col("b") + 1
-    pieces = starts.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(STEM), room)), lambda k: F.substring(F.col("label"), F.col("b"), k))).alias("word"))
-    short = pieces.distinct().join(words, "word").select("label", "word", "n")
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))), lambda b: F.substring(F.col("label"), b, F.lit(STEM)))
+    named = labels.select(F.unhex(F.md5("label")).alias("lid"), "label")
+    stems = durable(named.select("lid", F.explode(F.array_distinct(places)).alias("stem")), "url-stems")
+    pieces = stems.select("lid", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda k: F.substring(F.col("stem"), F.lit(1), k))).alias("word"))
+    short = pieces.distinct().join(words, "word").select("lid", "word", "n")
     long_ = words.filter(F.length("word") > STEM).withColumn("stem", F.substring("word", 1, STEM))
-    at = starts.filter(room > STEM).withColumn("stem", F.substring(F.col("label"), F.col("b"), F.lit(STEM)))
-    far = at.join(long_, "stem").filter(F.substring(F.col("label"), F.col("b"), F.length("word")) == F.col("word")).select("label", "word", "n").distinct()
-    known = short.union(far).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    far = stems.join(long_, "stem").select("lid", "word", "n")
+    known = short.union(far).groupBy("lid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(label: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([segment(x, dict(c) if c is not None else {}, total) for x, c in zip(label, counts)])
 
-    return labels.join(known, "label", "left").select("label", split("label", F.col("counts")).alias("words"))
+    return bounded_batches(named).join(known, "lid", "left").select("label", split("label", F.col("counts")).alias("words"))
 
 
 def bayes(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5) -> tuple[DataFrame, float]:
@@ -136,7 +139,6 @@ def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS
     without ``://`` have an empty host and path and are scored by the prior.
     Repeated rows are judged each.
     """
-    bounded_batches(pages)
     host, path = host_of(F.col(url)), path_of(F.col(url))
     base = durable(pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path")), "url-parts")
     words = durable(unigrams(pages.select(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"<[^>]*>", " ").alias("text"))), "url-unigrams")
