@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.plans.durable import durable
+from gridloom.plans.ranking import rank_within
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -158,13 +159,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     ``taken`` is a multiple of ``size`` (at most three times): whole epochs of
     the source, and one more for the documents that the fit selects.  Null and
-    empty texts have size 0 and take nothing.  Equal ids of one size tie by the
-    row's shard order, so exactly as many rows as planned are taken.  Null is a
+    empty texts have size 0 and take nothing.  Rows of equal id and size are
+    alike, so any of them make up the planned number.  Null is a
     source of its own, the last.  No rows: no rows.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")
     base = durable(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")).withColumn("shard", F.pmod(h, F.lit(shards)).cast("int")),
+        docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+        .select("*", h, F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.monotonically_increasing_id().alias("row")),
         "mix-sizes",
     )
     by_shard = durable(base.groupBy("source", "size", "shard").agg(F.count("*").alias("n")), "mix-counts")
@@ -188,8 +190,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         "b.*", F.coalesce("c.epochs", F.lit(0)).alias("epochs"), F.coalesce("c.n", F.lit(0)).alias("n"), F.greatest(F.coalesce("c.open", F.lit(0)), F.lit(0)).alias("open")
     )
     split = (F.col("open") > 0) & (F.col("open") < F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "shard").orderBy(h, "doc_id"))
-    ranked = placed.filter(split).withColumn("more", (rank <= F.col("open")).cast("long"))
+    # All rows of one id share a shard, and may be very many: their ranks are taken in ranges.
+    ranked = rank_within(placed.filter(split), ["source", "size", "shard"], ["h", "doc_id", "row"]).withColumn("more", (F.col("rank") <= F.col("open")).cast("long")).drop("rank")
     chosen = placed.filter(~split).withColumn("more", (F.col("open") > 0).cast("long")).unionByName(ranked)
     return chosen.alias("c").join(goals.alias("g"), same("c", "g")).select(
         "c.doc_id", "c.size", "g.source_size", "g.target", (F.col("c.size") * (F.col("c.epochs") + F.col("c.more"))).alias("taken")
