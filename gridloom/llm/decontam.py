@@ -20,6 +20,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
 #: Benchmarks up to so many distinct windows (some 200 bytes each) are broadcast.
 BROADCAST_WINDOWS = 100_000
+#: ... and only up to so many bytes, as a word may be of any length.
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,7 +56,7 @@ def _places(docs: DataFrame, widths: list[int], first: int) -> DataFrame:
     return at.select("*", F.explode(_keys_at(F.col("w"), F.col("at"), widths)).alias("key"))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``rid, doc_id, n_words, spans, items`` per input row.
 
     ``spans`` are the distinct ``(start, size)`` of occurring windows in words,
@@ -63,10 +65,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     words match nothing; an item id of null marks words but isn't listed.
     """
     known, listed = windows(benchmark, window, shingle)
-    n, widths = known.count(), sorted(r[0] for r in known.select("width").distinct().collect())
-    small = (lambda x: F.broadcast(x)) if n <= broadcast_windows else (lambda x: x)
+    n, weight = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words")), F.lit(0))).first()
+    widths = sorted(r[0] for r in known.select("width").distinct().collect())
+    few = n <= broadcast_windows and weight <= broadcast_bytes
+    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    if n > broadcast_windows:
+    if not few:
         texts = durable(texts, "decontam-texts")
     tokenised = texts.select("rid", "doc_id", words_of(F.col("text")).alias("w"))
     none = tokenised.select(
@@ -85,7 +89,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         rarest = rarity.groupBy("wid").agg(F.min_by(F.struct("size", "offset", "key"), F.struct("n", "key", "offset")).alias("p"), F.min("n").alias("n"))
         prefix = durable(rarest.filter("n > 0").select("wid", "p.*").join(known.select("wid", F.col("words").alias("window")), "wid"), "decontam-prefix")
         start = F.col("at") - F.col("offset")
-        if n <= broadcast_windows:
+        if few:
             verified = (start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("window"))
             columns = ["rid", "doc_id", F.size("w").alias("n_words"), F.when(verified, start).alias("start"), F.when(verified, F.col("size")).alias("size"), F.when(verified, F.col("wid")).alias("wid")]
             # The row at -1 stands for the document itself, so one pass also counts its words.
