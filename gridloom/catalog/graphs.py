@@ -246,37 +246,59 @@ def grf28_arcs(spark, d):
     return topology.basin_arcs(topology.basins(views.px(spark, d).select("z", "y", "x", "v")))
 
 
-def _tree(spark, d):
+#: Arc by arc in the order of the saddles: who stands for each basin, and where it ended.
+_KRUSKAL = f"""{_DESCENT},
+  ar AS (SELECT z, a, b, saddle::DOUBLE AS saddle, row_number() OVER (PARTITION BY z ORDER BY saddle, a, b) AS r FROM ba),
+  kr(z, node, r, rep, into_, height) AS (
+    SELECT z, basin, 0::BIGINT, basin, NULL::BIGINT, NULL::DOUBLE FROM bt
+    UNION ALL
+    SELECT n.z, n.node, n.r + 1, CASE WHEN n.rep = m.young THEN m.old ELSE n.rep END, CASE WHEN n.node = m.young THEN m.old ELSE n.into_ END, CASE WHEN n.node = m.young THEN m.saddle ELSE n.height END
+    FROM kr n JOIN (
+      SELECT ar.z, saddle, CASE WHEN pa.rep = pb.rep THEN NULL WHEN row(la.low, la.basin) > row(lb.low, lb.basin) THEN pa.rep ELSE pb.rep END AS young,
+             CASE WHEN row(la.low, la.basin) > row(lb.low, lb.basin) THEN pb.rep ELSE pa.rep END AS old
+      FROM ar JOIN kr pa ON pa.z = ar.z AND pa.node = ar.a AND pa.r = ar.r - 1 JOIN kr pb ON pb.z = ar.z AND pb.node = ar.b AND pb.r = ar.r - 1
+      JOIN bt la ON la.z = ar.z AND la.basin = pa.rep JOIN bt lb ON lb.z = ar.z AND lb.basin = pb.rep
+    ) m ON m.z = n.z),
+  dt AS (SELECT kr.z, node AS basin, into_ AS "into", height, height - low AS persistence, low, area, sum_base FROM kr JOIN (SELECT z, max(r) AS r FROM kr GROUP BY z) USING (z, r) JOIN bt ON bt.z = kr.z AND bt.basin = kr.node),
+  al(z, basin, cur) AS (SELECT z, basin, basin FROM dt UNION SELECT al.z, al.basin, dt."into" FROM al JOIN dt ON dt.z = al.z AND dt.basin = al.cur AND dt.persistence < 60),
+  living AS (SELECT al.z, al.basin, al.cur AS living FROM al JOIN dt ON dt.z = al.z AND dt.basin = al.cur WHERE dt.persistence IS NULL OR dt.persistence >= 60)"""
+
+
+def _tree(spark, d, **how):
     from gridloom.plans.durable import durable
 
     labelled = durable(topology.basins(views.px(spark, d).select("z", "y", "x", "v")), "basins")
     table, arcs = topology.basin_table(labelled), topology.basin_arcs(labelled)
-    return table, arcs, durable(topology.persistence(table, arcs), "deaths")
+    return table, arcs, durable(topology.persistence(table, arcs, **how), "deaths")
 
 
-@query("grf21_merge_tree", None)
+@query("grf21_merge_tree", sql(f'{_KRUSKAL} SELECT z, basin, "into", height, persistence FROM dt'))
 def grf21(spark, d):
-    return _tree(spark, d)[2]
+    """By contraction over all tasks, no item in one of them."""
+    return _tree(spark, d, small=0)[2]
 
 
-@query("grf21_merge_heights", sql(f"""{_DESCENT}, reach(z, s, t, w) AS (SELECT z, a, b, saddle FROM ba UNION SELECT z, b, a, saddle FROM ba) SELECT z, count(*) - 1 AS n_merges FROM bt GROUP BY z"""))
+@query("grf21_merge_heights", sql(f"{_KRUSKAL} SELECT z, count(height) AS n_merges, min(height) AS first_height, max(height) AS last_height, sum(persistence) AS total FROM dt GROUP BY z"))
 def grf21_heights(spark, d):
     _, _, deaths = _tree(spark, d)
-    return deaths.groupBy("z").agg(F.count("persistence").alias("n_merges"))
+    return deaths.groupBy("z").agg(F.count("persistence").alias("n_merges"), F.min("height").alias("first_height"), F.max("height").alias("last_height"), F.sum("persistence").alias("total"))
 
 
-@query("grf22_branch_survivors", None)
+@query("grf22_branch_survivors", sql(f"{_KRUSKAL} SELECT z, basin, row_number() OVER (PARTITION BY z ORDER BY basin) AS region FROM dt WHERE (persistence IS NULL OR persistence >= 20) AND low <= 200"))
 def grf22(spark, d):
     table, _, deaths = _tree(spark, d)
     return topology.cut_tree(deaths, table, 20.0, 200.0).select("z", "basin", "region")
 
 
-@query("grf23_persistence_sweep", None)
+@query("grf23_persistence_sweep", sql(f"{_KRUSKAL} SELECT z, {', '.join(f'count(*) FILTER (persistence IS NULL OR persistence >= {t}) AS n_{k}' for k, t in enumerate((0, 10, 50, 100, 200)))} FROM dt GROUP BY z"))
 def grf23(spark, d):
     return topology.sweep(_tree(spark, d)[2], [0, 10, 50, 100, 200])
 
 
-@query("grf24_absorb", None)
+@query("grf24_absorb", sql(f"""{_KRUSKAL}, seeds AS (SELECT z, basin AS node FROM dt WHERE persistence IS NULL OR persistence >= 60),
+  level AS (SELECT z, saddle, max(r) AS r FROM ar GROUP BY z, saddle UNION ALL SELECT DISTINCT z, '-Infinity'::DOUBLE, 0 FROM bt),
+  held AS (SELECT z, r, rep, min(node) AS owner FROM kr JOIN seeds USING (z, node) GROUP BY z, r, rep)
+  SELECT kr.z, kr.node, arg_min(owner, saddle) AS owner, min(saddle) AS cost FROM kr JOIN level USING (z, r) JOIN held ON held.z = kr.z AND held.r = kr.r AND held.rep = kr.rep GROUP BY kr.z, kr.node"""))
 def grf24(spark, d):
     table, arcs, deaths = _tree(spark, d)
     seeds = topology.cut_tree(deaths, table, 60.0, 1e9).select("z", F.col("basin").alias("node"))
@@ -288,17 +310,18 @@ def grf27(spark, d):
     return _tree(spark, d)[2].filter("persistence IS NULL").select("z", "basin")
 
 
-@query("agg12_roll_up", None)
+@query("agg12_roll_up", sql(f"{_KRUSKAL} SELECT z, living, sum(area)::BIGINT AS area, sum(sum_base) AS sum_base, min(low) AS low, count(*) AS n_base FROM dt JOIN living USING (z, basin) GROUP BY z, living"))
 def agg12(spark, d):
     table, _, deaths = _tree(spark, d)
     return topology.roll_up(table, topology.living(deaths, 60.0))
 
 
-@query("jn06_living_lut", sql("SELECT z, sum(v)::BIGINT AS total, count(*) AS n FROM px GROUP BY z"))
+@query("jn06_living_lut", sql(f"{_KRUSKAL} SELECT bl.z, y, x, living FROM bl JOIN living USING (z, basin)"))
 def jn06(spark, d):
-    table, _, deaths = _tree(spark, d)
-    rolled = topology.roll_up(table, topology.living(deaths, 60.0))
-    return rolled.groupBy("z").agg(F.sum("sum_base").cast("long").alias("total"), F.sum("area").alias("n"))
+    """Every cell's living region, through the table of basins."""
+    labelled = topology.basins(views.px(spark, d).select("z", "y", "x", "v"))
+    lut = topology.living(topology.persistence(topology.basin_table(labelled), topology.basin_arcs(labelled)), 60.0)
+    return labelled.join(lut, ["z", "basin"]).select("z", "y", "x", "living")
 
 
 @query("scl20_tree_document", None)

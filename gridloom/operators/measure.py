@@ -8,56 +8,108 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.durable import durable
 
+#: Bins of a group that a mixture is fitted to; groups of fewer distinct values are fitted exactly.
+BINS = 1 << 14
 
-def gmm(df: DataFrame, value: str, by: Sequence[str], trim: float = 0.5, rounds: int = 30, tol: float = 1e-6, floor: float = 1e-6) -> DataFrame:
-    """Two-component mixture per group: ``w_1 mu_1 sd_1 w_2 mu_2 sd_2 n loglik``, means ascending.
 
-    Values outside the ``trim`` percentiles are left out; the start is the
-    quartiles.  Each round is one aggregation of responsibilities; groups whose
-    mean log-likelihood moves by less than ``tol`` keep their parameters.
+def weighted_bins(df: DataFrame, value: str, by: Sequence[str], trim: float = 0.5, bins: int = BINS, skip_zero: bool = False) -> DataFrame:
+    """``by, n, sx, sxx``: count, sum and sum of squares of the finite values in each bin between the ``trim`` percentiles.
+
+    Sums are taken about the middle of the group's range, ``shift``.  Values are
+    combined where they lie, so that a group is at most ``bins`` rows from here on.
     """
-    q = F.percentile(value, F.array(F.lit(trim / 100), F.lit(1 - trim / 100)))
-    bounds = df.groupBy(*by).agg(q.alias("__q"))
-    kept = durable(df.join(bounds, list(by)).filter(F.col(value).between(F.col("__q")[0], F.col("__q")[1])).select(*by, F.col(value).cast("double").alias("x")), "gmm-values")
-    start = kept.groupBy(*by).agg(F.avg("x").alias("shift"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("p"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("var"), F.count("*").alias("n"))
-    state = durable(
-        start.select(*by, "n", "shift", (F.col("p")[0] - F.col("shift")).alias("m1"), (F.col("p")[1] - F.col("shift")).alias("m2"), F.col("var").alias("v1"), F.col("var").alias("v2"), F.lit(0.5).alias("w1"), F.lit(float("-inf")).alias("ll"), F.lit(False).alias("done")),
-        "gmm-state",
-    )
-    for _ in range(rounds):
-        x = F.col("x") - F.col("shift")
-        density = lambda w, m, v: w * F.exp(-((x - m) ** 2) / (2 * v)) / F.sqrt(2 * math.pi * v)
-        d1, d2 = density(F.col("w1"), F.col("m1"), F.col("v1")), density(1 - F.col("w1"), F.col("m2"), F.col("v2"))
-        # The state has one row a group and a fixed number of columns.
-        rows = kept.join(state.filter("NOT done"), list(by)).select(*by, x.alias("x"), d1.alias("d1"), (d1 + d2 + 1e-300).alias("d"))
-        r = F.col("d1") / F.col("d")
-        s = rows.groupBy(*by).agg(
-            F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("rx"), F.sum(r * F.col("x") ** 2).alias("rxx"), F.sum("x").alias("sx"), F.sum(F.col("x") ** 2).alias("sxx"), F.avg(F.log("d")).alias("l"), F.count("*").alias("k")
-        )
-        r2 = F.greatest(F.col("k") - F.col("r"), F.lit(1e-9))
-        r1 = F.greatest(F.col("r"), F.lit(1e-9))
-        m1, m2 = F.col("rx") / r1, (F.col("sx") - F.col("rx")) / r2
-        new = s.select(
-            *by, m1.alias("m1"), m2.alias("m2"), F.greatest(F.col("rxx") / r1 - m1 * m1, F.lit(floor)).alias("v1"), F.greatest((F.col("sxx") - F.col("rxx")) / r2 - m2 * m2, F.lit(floor)).alias("v2"), (F.col("r") / F.col("k")).alias("w1"), F.col("l").alias("ll")
-        )
-        a, b = state.alias("a"), new.alias("b")
-        pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
-        done = F.col("a.done") | (F.abs(F.col("b.ll") - F.col("a.ll")) < tol)
-        state = durable(a.join(b, list(by), "left").select(*by, "a.n", "a.shift", *[pick(c) for c in ("m1", "m2", "v1", "v2", "w1", "ll")], done.alias("done")), "gmm-state")
-        if state.filter("NOT done").isEmpty():
+    x = F.col(value).cast("double")
+    finite = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & ((x != 0) | F.lit(not skip_zero))).select(*by, x.alias("x"))
+    q = finite.groupBy(*by).agg(F.percentile("x", F.array(F.lit(trim / 100), F.lit(1 - trim / 100))).alias("q"))
+    bounds = q.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    same = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    inside = finite.join(bounds, same).filter(F.col("x").between(F.col("low"), F.col("high")))
+    shift = (F.col("low") + F.col("high")) / 2
+    at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0)
+    moved = inside.select(*by, shift.alias("shift"), at.alias("bin"), (F.col("x") - shift).alias("d"))
+    return moved.groupBy(*by, "shift", "bin").agg(F.count("*").alias("n"), F.sum("d").alias("sx"), F.sum(F.col("d") * F.col("d")).alias("sxx"))
+
+
+def _start(x: np.ndarray, n: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres by k-means++ over weighted places, moved until no place changes its centre."""
+    centres = [x[rng.choice(len(x), p=n / n.sum())]]
+    for _ in range(1, k):
+        near = np.min([(x - c) ** 2 for c in centres], axis=0) * n
+        if near.sum() <= 0:
+            centres.append(centres[-1])
+            continue
+        drawn = rng.choice(len(x), size=2 + int(math.log(k)), p=near / near.sum())
+        left = [np.minimum(near, (x - x[d]) ** 2 * n).sum() for d in drawn]
+        centres.append(x[drawn[int(np.argmin(left))]])
+    at, own = np.sort(np.array(centres)), None
+    for _ in range(100):
+        now = np.abs(x[:, None] - at).argmin(axis=1)
+        if own is not None and np.array_equal(now, own):
             break
-    up = F.col("m1") <= F.col("m2")
-    either = lambda p, q: F.when(up, p).otherwise(q)
-    return state.select(
-        *by, "n", either(F.col("w1"), 1 - F.col("w1")).alias("w_1"), (either(F.col("m1"), F.col("m2")) + F.col("shift")).alias("mu_1"), F.sqrt(either(F.col("v1"), F.col("v2"))).alias("sd_1"),
-        either(1 - F.col("w1"), F.col("w1")).alias("w_2"), (either(F.col("m2"), F.col("m1")) + F.col("shift")).alias("mu_2"), F.sqrt(either(F.col("v2"), F.col("v1"))).alias("sd_2"), F.col("ll").alias("loglik"),
-    )
+        own = now
+        weight = np.bincount(own, n, k)
+        at = np.where(weight > 0, np.bincount(own, n * x, k) / np.maximum(weight, 1e-300), at)
+    return np.abs(x[:, None] - at).argmin(axis=1)
+
+
+def fit_mixture(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, k: int, seed: int, rounds: int, tol: float, reg: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, means and variances by ascending mean, and the mean log-likelihood, from weighted bins.
+
+    A bin's responsibilities are those of its mean; its own sums enter the moments.
+    """
+    n, x = n.astype(float), sx / n
+    total = n.sum()
+    share = np.eye(k)[_start(x, n, k, np.random.default_rng(seed))]
+    before = -np.inf
+    for _ in range(rounds + 1):
+        mass = np.maximum((share * n[:, None]).sum(axis=0), 10 * np.finfo(float).eps)
+        w, mu = mass / total, share.T @ sx / mass
+        var = np.maximum(share.T @ sxx / mass - mu * mu + reg, max(floor, 1e-300))
+        log = np.log(np.maximum(w, 1e-300)) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mu) ** 2 / var)
+        top = log.max(axis=1, keepdims=True)
+        each = np.exp(log - top)
+        fit = float(n @ (top[:, 0] + np.log(each.sum(axis=1))) / total)
+        share = each / each.sum(axis=1, keepdims=True)
+        if abs(fit - before) < tol:
+            break
+        before = fit
+    order = np.argsort(mu, kind="stable")
+    return w[order], mu[order], var[order], fit
+
+
+def gmm(df: DataFrame, value: str, by: Sequence[str], trim: float = 0.5, rounds: int = 100, tol: float = 1e-6, floor: float = 1e-6, k: int = 2, restarts: int = 5, seed: int = 0, reg: float = 1e-6, bins: int = BINS, skip_zero: bool = False) -> DataFrame:
+    """Mixture of ``k`` normals per group: ``n, w_1, mu_1, sd_1, w_2, ..., loglik``, means ascending.
+
+    Values outside the ``trim`` percentiles are left out.  Each group and restart
+    is fitted to the group's weighted bins, and the restart of the largest mean
+    log-likelihood stays, the first on ties.  Groups without values give no
+    row; a group of one value has all components there, with the least variance.
+    """
+    table = weighted_bins(df, value, by, trim, bins, skip_zero)
+    tried = table.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    names = [f"{c}_{i}" for i in range(1, k + 1) for c in ("w", "mu", "sd")]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        first = pdf.iloc[0]
+        w, mu, var, ll = fit_mixture(*(pdf[c].to_numpy() for c in ("n", "sx", "sxx")), k, seed * 1_000_003 + int(first["restart"]), rounds, tol, reg, floor)
+        row = [v for i in range(k) for v in (w[i], mu[i] + first["shift"], math.sqrt(var[i]))]
+        out = pdf[[*by, "restart"]].iloc[:1].reset_index(drop=True)
+        out[["n", *names, "loglik"]] = [[int(pdf["n"].sum()), *row, ll]]
+        return out.astype({"n": "int64"})
+
+    keys = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in by)
+    fitted = tried.groupBy(*by, "restart").applyInPandas(fit, f"{keys}, restart int, n long, {', '.join(f'{c} double' for c in names)}, loglik double")
+    best = fitted.groupBy(*by).agg(F.max_by(F.struct("n", *names, "loglik"), F.struct(F.round("loglik", 9), -F.col("restart"))).alias("b"))
+    return best.select(*by, "b.*")
 
 
 def hard_stats(df: DataFrame, fitted: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

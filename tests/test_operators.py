@@ -217,8 +217,9 @@ def twin_basins(grid):
 def test_basins_match_descent(spark, seed):
     grid = random_grid(seed, 9, 9, 12)
     want = twin_basins(grid)
-    got = {(r.y, r.x): (r.basin // topology.SIDE, r.basin % topology.SIDE) for r in topology.basins(pixels(spark, [grid])).collect()}
-    assert got == want
+    for tile in (2, 4, 512):
+        got = {(r.y, r.x): (r.basin // topology.SIDE, r.basin % topology.SIDE) for r in topology.basins(pixels(spark, [grid]), tile=tile).collect()}
+        assert got == want
 
 
 def test_persistence_is_monotone_and_keeps_area(spark):
@@ -493,3 +494,58 @@ def test_ranks_and_minima_within_hot_groups(spark):
         own = sorted((k, v) for h, k, v in rows if h == g)
         for at, (k, _) in enumerate(own):
             assert ranked[g, k] == at + 1 and least[g, k] == min((v for _, v in own[:at]), default=None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contraction_gives_the_merge_order(spark, seed):
+    """Random graphs with many ties, a star, a long path of falling minima and a lone basin, no item in one task."""
+    rng = random.Random(seed)
+    nodes, arcs = [], []
+    for z in range(4):
+        n = rng.randrange(20, 60)
+        nodes += [(z, k, float(rng.randrange(15))) for k in range(n)]
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(n * 2)}
+        arcs += [(z, a, b, float(rng.randrange(10, 30))) for a, b in pairs]
+    nodes += [(4, k, float(100 - k)) for k in range(40)] + [(5, k, float(k)) for k in range(40)] + [(6, 0, 1.0)]
+    arcs += [(4, k, k + 1, float(200 + k)) for k in range(39)] + [(5, 0, k, float(300 - k)) for k in range(1, 40)]
+    table = spark.createDataFrame(nodes, "z int, basin long, low double")
+    edges = spark.createDataFrame(arcs, "z int, a long, b long, saddle double")
+    want = set()
+    for z in range(7):
+        order = topology.merge_order([(k, v) for i, k, v in nodes if i == z], [(w, a, b) for i, a, b, w in arcs if i == z])
+        ended = {r[0]: r for r in order}
+        want |= {(z, k, *ended.get(k, (k, None, None, None))[1:]) for i, k, _ in nodes if i == z}
+    for small in (0, 50, 10**6):
+        assert {tuple(r) for r in topology.persistence(table, edges, small=small).collect()} == want
+    assert topology.persistence(table, edges.limit(0), small=0).filter("into IS NOT NULL").count() == 0
+
+
+def plain_mixture(x, k, start, rounds=200):
+    """Expectation and maximisation over single values, in plain Python."""
+    w, mu, var = [1 / k] * k, list(start), [1.0] * k
+    for _ in range(rounds):
+        share = []
+        for v in x:
+            p = [w[c] * math.exp(-((v - mu[c]) ** 2) / (2 * var[c])) / math.sqrt(2 * math.pi * var[c]) for c in range(k)]
+            share.append([q / sum(p) for q in p])
+        mass = [sum(s[c] for s in share) for c in range(k)]
+        w = [m / len(x) for m in mass]
+        mu = [sum(s[c] * v for s, v in zip(share, x)) / mass[c] for c in range(k)]
+        var = [sum(s[c] * (v - mu[c]) ** 2 for s, v in zip(share, x)) / mass[c] + 1e-6 for c in range(k)]
+    return w, mu, [math.sqrt(v) for v in var]
+
+
+def test_mixture_over_bins_equals_that_over_values(spark):
+    rng = random.Random(6)
+    groups = {"two": (2, [(-5.0, 1.0, 150), (4.0, 2.0, 250)]), "three": (3, [(0.0, 1.0, 120), (20.0, 1.5, 120), (50.0, 2.0, 60)])}
+    for name, (k, parts) in groups.items():
+        x = [rng.gauss(m, s) + 1e6 * (name == "three") for m, s, n in parts for _ in range(n)]
+        w, mu, sd = plain_mixture(x, k, [m + 1e6 * (name == "three") for m, _, _ in parts])
+        df = spark.createDataFrame([(name, v) for v in x] + [(None, 7.0), (None, 7.0), ("void", float("nan")), ("void", None)], "g string, v double")
+        got = {r.g: r for r in measure.gmm(df, "v", ["g"], trim=0.0, k=k, rounds=500, tol=1e-10).collect()}
+        assert set(got) == {name, None} and got[None].n == 2 and abs(got[None].mu_1 - 7) < 1e-9
+        for c in range(k):
+            for have, want in ((got[name][f"w_{c + 1}"], w[c]), (got[name][f"mu_{c + 1}"], mu[c]), (got[name][f"sd_{c + 1}"], sd[c])):
+                assert abs(have - want) <= 2e-3 * max(1, abs(want) % 1e6), (name, c)
+        again = measure.gmm(df.repartition(5), "v", ["g"], trim=0.0, k=k, rounds=500, tol=1e-10)
+        assert [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in again.filter("g IS NOT NULL").collect()] == [tuple(round(v, 6) if isinstance(v, float) else v for v in got[name])]
