@@ -247,9 +247,9 @@ def grf28_arcs(spark, d):
 
 
 #: Arc by arc in the order of the saddles: who stands for each basin, and where it ended.
-_KRUSKAL = f"""{_DESCENT},
-  ar AS (SELECT z, a, b, saddle::DOUBLE AS saddle, row_number() OVER (PARTITION BY z ORDER BY saddle, a, b) AS r FROM ba),
-  kr(z, node, r, rep, into_, height) AS (
+_KRUSKAL = f"""{_DESCENT.replace(' bt AS (', ' bt AS MATERIALIZED (').replace(' ba AS (', ' ba AS MATERIALIZED (')},
+  ar AS MATERIALIZED (SELECT z, a, b, saddle::DOUBLE AS saddle, row_number() OVER (PARTITION BY z ORDER BY saddle, a, b) AS r FROM ba),
+  kr(z, node, r, rep, into_, height) AS MATERIALIZED (
     SELECT z, basin, 0::BIGINT, basin, NULL::BIGINT, NULL::DOUBLE FROM bt
     UNION ALL
     SELECT n.z, n.node, n.r + 1, CASE WHEN n.rep = m.young THEN m.old ELSE n.rep END, CASE WHEN n.node = m.young THEN m.old ELSE n.into_ END, CASE WHEN n.node = m.young THEN m.saddle ELSE n.height END
@@ -259,7 +259,7 @@ _KRUSKAL = f"""{_DESCENT},
       FROM ar JOIN kr pa ON pa.z = ar.z AND pa.node = ar.a AND pa.r = ar.r - 1 JOIN kr pb ON pb.z = ar.z AND pb.node = ar.b AND pb.r = ar.r - 1
       JOIN bt la ON la.z = ar.z AND la.basin = pa.rep JOIN bt lb ON lb.z = ar.z AND lb.basin = pb.rep
     ) m ON m.z = n.z),
-  dt AS (SELECT kr.z, node AS basin, into_ AS "into", height, height - low AS persistence, low, area, sum_base FROM kr JOIN (SELECT z, max(r) AS r FROM kr GROUP BY z) USING (z, r) JOIN bt ON bt.z = kr.z AND bt.basin = kr.node),
+  dt AS MATERIALIZED (SELECT kr.z, node AS basin, into_ AS "into", height, height - low AS persistence, low, area, sum_base FROM kr JOIN (SELECT z, max(r) AS r FROM kr GROUP BY z) USING (z, r) JOIN bt ON bt.z = kr.z AND bt.basin = kr.node),
   al(z, basin, cur) AS (SELECT z, basin, basin FROM dt UNION SELECT al.z, al.basin, dt."into" FROM al JOIN dt ON dt.z = al.z AND dt.basin = al.cur AND dt.persistence < 60),
   living AS (SELECT al.z, al.basin, al.cur AS living FROM al JOIN dt ON dt.z = al.z AND dt.basin = al.cur WHERE dt.persistence IS NULL OR dt.persistence >= 60)"""
 
@@ -295,14 +295,22 @@ def grf23(spark, d):
     return topology.sweep(_tree(spark, d)[2], [0, 10, 50, 100, 200])
 
 
-@query("grf24_absorb", sql(f"""{_KRUSKAL}, seeds AS (SELECT z, basin AS node FROM dt WHERE persistence IS NULL OR persistence >= 60),
-  level AS (SELECT z, saddle, max(r) AS r FROM ar GROUP BY z, saddle UNION ALL SELECT DISTINCT z, '-Infinity'::DOUBLE, 0 FROM bt),
-  held AS (SELECT z, r, rep, min(node) AS owner FROM kr JOIN seeds USING (z, node) GROUP BY z, r, rep)
-  SELECT kr.z, kr.node, arg_min(owner, saddle) AS owner, min(saddle) AS cost FROM kr JOIN level USING (z, r) JOIN held ON held.z = kr.z AND held.r = kr.r AND held.rep = kr.rep GROUP BY kr.z, kr.node"""))
-def grf24(spark, d):
+def _absorbed(spark, d):
     table, arcs, deaths = _tree(spark, d)
-    seeds = topology.cut_tree(deaths, table, 60.0, 1e9).select("z", F.col("basin").alias("node"))
-    return topology.absorb(seeds, arcs)
+    return topology.absorb(topology.cut_tree(deaths, table, 60.0, 1e9).select("z", F.col("basin").alias("node")), arcs)
+
+
+@query("grf24_absorb", None)
+def grf24(spark, d):
+    return _absorbed(spark, d)
+
+
+@query("grf24_absorb_costs", sql(f"""{_KRUSKAL}, seeds AS (SELECT z, basin AS node FROM dt WHERE persistence IS NULL OR persistence >= 60),
+  level AS (SELECT z, saddle, max(r) AS r FROM ar GROUP BY z, saddle UNION ALL SELECT DISTINCT z, '-Infinity'::DOUBLE, 0 FROM bt),
+  held AS (SELECT DISTINCT z, r, rep FROM kr JOIN seeds USING (z, node))
+  SELECT kr.z, kr.node, min(saddle) AS cost FROM kr JOIN level USING (z, r) JOIN held USING (z, r, rep) GROUP BY kr.z, kr.node"""))
+def grf24_costs(spark, d):
+    return _absorbed(spark, d).select("z", "node", "cost")
 
 
 @query("grf27_never_cancelled", sql(f"{_DESCENT} SELECT z, basin FROM (SELECT z, basin, row_number() OVER (PARTITION BY z ORDER BY low, basin) AS r FROM bt) WHERE r = 1"))

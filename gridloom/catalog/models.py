@@ -277,10 +277,10 @@ def udf06(spark, d):
     return rounded(workflow.run(views.px(spark, d), w)["features"])
 
 
-@query("mod14_harvest", sql("SELECT z AS slide, count(*) AS n FROM regions WHERE label // 32 = 0 GROUP BY 1"))
+@query("mod14_harvest", sql("SELECT z AS slide, (label // 32)::INT AS tile, count(*) AS n FROM regions GROUP BY 1, 2"))
 def mod14(spark, d):
     path = fresh_path(spark, "harvest")
     rows = views.blocks(spark, d).groupBy("z", "label").agg(F.count("*").alias("area"), F.avg("v").alias("m"))
     shards = rows.select(F.col("z").alias("slide"), F.expr("cast(label div 32 AS int)").alias("tile"), F.lit(1).alias("factor"), "label", "area", "m")
     files.write_shards(shards, path)
-    return files.read_shards(spark, path, factors=[1]).filter("tile = 0").groupBy("slide").agg(F.count("*").alias("n"))
+    return files.read_shards(spark, path, factors=[1]).groupBy("slide", "tile").agg(F.count("*").alias("n"))

@@ -175,6 +175,21 @@ def ras08_edges(spark, d):
     return raster.edge_mask(views.px(spark, d), "v", 1.0, 15.0, 30.0)
 
 
+def _across_sql(name, sx, sy):
+    """Magnitude along the gradient on one side, between the main neighbour and the diagonal one."""
+    return f"""{name} AS (SELECT g.z, g.y, g.x, coalesce(a.m, 0) * (1 - g.lean) + coalesce(b.m, 0) * g.lean AS m FROM g
+      LEFT JOIN g a ON a.z = g.z AND a.x = g.x + CASE WHEN g.flat THEN {sx} ELSE 0 END AND a.y = g.y + CASE WHEN g.flat THEN 0 ELSE {sy} END
+      LEFT JOIN g b ON b.z = g.z AND b.x = g.x + {sx} AND b.y = g.y + {sy})"""
+
+
+@query("ras08_thin_edges", sql(f"""{_both_sql(1, 0, 1.0, 'f')}, {_both_sql(0, 1, 1.0, 'h')},
+  g AS (SELECT f.z, f.y, f.x, sqrt(f.s * f.s + h.s * h.s) AS m, f.s AS dx, h.s AS dy, abs(f.s) >= abs(h.s) AS flat, least(abs(f.s), abs(h.s)) / greatest(abs(f.s), abs(h.s)) AS lean FROM f JOIN h USING (z, y, x) WHERE f.s <> 0 OR h.s <> 0),
+  {_across_sql('ahead', 'CASE WHEN g.dx > 0 THEN 1 ELSE -1 END', 'CASE WHEN g.dy > 0 THEN 1 ELSE -1 END')}, {_across_sql('behind', 'CASE WHEN -g.dx > 0 THEN 1 ELSE -1 END', 'CASE WHEN -g.dy > 0 THEN 1 ELSE -1 END')}
+  SELECT z, y, x, round(g.m, 4) AS gradmag FROM g JOIN ahead USING (z, y, x) JOIN behind USING (z, y, x) WHERE g.m > ahead.m AND g.m >= behind.m"""))
+def ras08_thin(spark, d):
+    return rounded(raster.ridge_cells(views.px(spark, d), "v", 1.0).select("z", "y", "x", "gradmag"), digits=4)
+
+
 _MORPH = """lo AS (SELECT p.z, p.y, p.x, min(q.v) AS lo, max(q.v) AS hi FROM px p JOIN px q ON q.z = p.z AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY 1, 2, 3)"""
 
 

@@ -9,6 +9,7 @@ from gridloom.catalog import query, rounded
 from gridloom.functions import scalars
 from gridloom.operators import gestures, graph, ordering, predicate, stats
 from gridloom.operators.predicate import Gate, PixelRule, Query
+from gridloom.plans.ranking import global_rank
 from gridloom.views import sql
 
 
@@ -218,10 +219,11 @@ def jn22(spark, d):
     return spark.range(1).select(F.array_join(F.array_except(want, have), ",").alias("missing"), F.array_join(F.array_except(have, want), ",").alias("extra"))
 
 
-@query("set01_intersection", sql("SELECT label FROM regions WHERE area > 12 AND z = 0 INTERSECT SELECT label FROM regions WHERE mean_v > 195 AND z = 1"))
+@query("set01_intersection", sql("SELECT z, label FROM regions WHERE area > 12 INTERSECT SELECT z - 1, label FROM regions WHERE mean_v > 195"))
 def set01(spark, d):
+    """Labels that are large in a slice and bright in the next."""
     t = _regions(spark, d)
-    return t.filter("area > 12 AND z = 0").select("label").intersect(t.filter("mean_value > 195 AND z = 1").select("label"))
+    return t.filter("area > 12").select("z", "label").intersect(t.filter("mean_value > 195").select((F.col("z") - 1).alias("z"), "label"))
 
 
 @query("set02_concat_offsets", sql("SELECT z, label, z * 64 + row_number() OVER (PARTITION BY z ORDER BY label) - 1 AS row FROM regions"))
@@ -244,26 +246,24 @@ def set04(spark, d):
     return views.table(spark, d, "nation").select(F.col("n_name").alias("name")).union(views.table(spark, d, "region").select("r_name")).distinct()
 
 
-@query("set05_symmetric_difference", sql("(SELECT label FROM regions WHERE z = 0 AND mean_v > 200 EXCEPT SELECT label FROM regions WHERE z = 1 AND mean_v > 200) UNION ALL (SELECT label FROM regions WHERE z = 1 AND mean_v > 200 EXCEPT SELECT label FROM regions WHERE z = 0 AND mean_v > 200)").replace(", (SELECT label FROM regions WHERE z = 0", " (SELECT label FROM regions WHERE z = 0"))
+@query("set05_symmetric_difference", sql("""bright AS (SELECT z, label FROM regions WHERE mean_v > 200), l AS (SELECT z, label FROM bright WHERE z < 6), r AS (SELECT z - 1 AS z, label FROM bright WHERE z > 0)
+  SELECT * FROM ((SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL (SELECT * FROM r EXCEPT SELECT * FROM l))"""))
 def set05(spark, d):
+    """Labels that are bright in one of a slice and its next."""
     t = _regions(spark, d).filter("mean_value > 200")
-    a, b = t.filter("z = 0").select("label"), t.filter("z = 1").select("label")
+    a, b = t.filter("z < 6").select("z", "label"), t.filter("z > 0").select((F.col("z") - 1).alias("z"), "label")
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
 @query("win01_natural_sort", "SELECT p_partkey, row_number() OVER (ORDER BY regexp_replace(p_brand, '[0-9]+', '', 'g'), regexp_extract(p_brand, '[0-9]+')::INT, p_partkey) AS position FROM part")
 def win01(spark, d):
-    from pyspark.sql import Window
-
-    key = ordering.natural_key(F.col("p_brand"))
-    return views.table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).cast("long").alias("position"))
+    parts = views.table(spark, d, "part").select("p_partkey", ordering.natural_key(F.col("p_brand")).alias("key"))
+    return global_rank(parts, "key", "p_partkey", out="position").select("p_partkey", F.col("position").cast("long").alias("position"))
 
 
 @query("win02_sorted_segments", sql("SELECT z, label, row_number() OVER (ORDER BY z, label) AS r FROM regions"))
 def win02(spark, d):
-    from pyspark.sql import Window
-
-    return _regions(spark, d).select("z", "label", F.row_number().over(Window.orderBy("z", "label")).cast("long").alias("r"))
+    return global_rank(_regions(spark, d).select("z", "label"), "z", "label", out="r").select("z", "label", F.col("r").cast("long").alias("r"))
 
 
 @query("win03_first_seen_ids", "WITH f AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY user_id) SELECT user_id, dense_rank() OVER (ORDER BY f) - 1 AS dense_id FROM f")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.ranking import global_rank
+
 
 def natural_key(name: Column, digits: int = 20) -> Column:
     """Sort key in which runs of digits compare as numbers, without regard to case."""
@@ -18,10 +20,11 @@ def natural_key(name: Column, digits: int = 20) -> Column:
 def strided(df: DataFrame, order: Sequence[Column | str], start: int = 0, stride: int = 1, count: int | None = None) -> DataFrame:
     """Every ``stride``-th row from ``start`` of an order, at most ``count`` of them.
 
-    For lists of files and the like: the order runs in one task.
+    Positions are ranks within ranges of the order, so no task holds all rows.
     """
-    rn = F.row_number().over(Window.orderBy(*order)) - 1
-    kept = df.withColumn("position", rn).filter((F.col("position") >= start) & ((F.col("position") - start) % stride == 0))
+    keys = {f"__o{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
+    ranked = global_rank(df.withColumns(keys), *keys, out="position").drop(*keys)
+    kept = ranked.withColumn("position", F.col("position") - 1).filter((F.col("position") >= start) & ((F.col("position") - start) % stride == 0))
     kept = kept.withColumn("position", ((F.col("position") - start) / stride).cast("int"))
     return kept if count is None else kept.filter(F.col("position") < count)
 

@@ -121,13 +121,43 @@ def gradient_magnitude(df: DataFrame, value: str, sigma: float, out: str = "grad
     return d.select(*df.columns, F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2).alias(out))
 
 
-def edge_mask(df: DataFrame, value: str, sigma: float, low: float | None, high: float | None) -> DataFrame:
-    """Hysteresis: cells above ``low`` in a component that reaches ``high``."""
+def ridge_cells(df: DataFrame, value: str, sigma: float, out: str = "gradmag") -> DataFrame:
+    """Cells whose gradient is the largest across the edge, with its magnitude.
+
+    The magnitude is compared on both sides along the gradient, between the
+    neighbour on its main axis and the diagonal one beside it, by how far it
+    leans to the diagonal.  Neighbours outside the raster count as 0.  On a
+    plateau across the edge the cell that is last along the gradient stays.
+    Cells without a gradient go.
+    """
+    m = derivatives(df, value, sigma).withColumn("__m", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
+    across, down = Window.partitionBy("z", "y").orderBy("x"), Window.partitionBy("z", "x").orderBy("y")
+    # By coordinate and not by row, as cells may be missing.
+    beside = lambda f, d: F.when(f("x").over(across) == F.col("x") + d, f("__m").over(across))
+    row = m.withColumn("__row", F.struct(beside(F.lag, -1).alias("l"), F.col("__m").alias("c"), beside(F.lead, 1).alias("r"), F.col("y")))
+    near = row.withColumns({"__u": F.lag("__row").over(down), "__d": F.lead("__row").over(down)})
+    at = lambda c, side, d: F.coalesce(F.when(F.col(f"{c}.y") == F.col("y") + d, F.col(f"{c}.{side}")), F.lit(0.0))
+    own = lambda side: F.coalesce(F.col(f"__row.{side}"), F.lit(0.0))
+    flat, lean = F.abs("dx") >= F.abs("dy"), F.least(F.abs("dx"), F.abs("dy")) / F.greatest(F.abs("dx"), F.abs("dy"))
+
+    def side(sign: int) -> Column:
+        right, low = F.col("dx") * sign > 0, F.col("dy") * sign > 0
+        # The diagonal that the gradient leans to; without a lean it has no weight.
+        diagonal = F.when(right, F.when(low, at("__d", "r", 1)).otherwise(at("__u", "r", -1))).otherwise(F.when(low, at("__d", "l", 1)).otherwise(at("__u", "l", -1)))
+        main = F.when(flat, F.when(right, own("r")).otherwise(own("l"))).otherwise(F.when(low, at("__d", "c", 1)).otherwise(at("__u", "c", -1)))
+        return main * (1 - lean) + diagonal * lean
+
+    kept = near.filter((F.col("__m") > 0) & (F.col("__m") > side(1)) & (F.col("__m") >= side(-1)))
+    return kept.select(*df.columns, F.col("__m").alias(out))
+
+
+def edge_mask(df: DataFrame, value: str, sigma: float, low: float | None, high: float | None, thin: bool = False) -> DataFrame:
+    """Hysteresis: cells above ``low`` in a component that reaches ``high``; of thin edges only ``ridge_cells``, linked over corners too."""
     if low is None and high is None:
         raise ValueError("an edge mask needs a low or a high threshold")
     low, high = (high if low is None else low), (low if high is None else high)
-    weak = gradient_magnitude(df, value, sigma, "__m").filter(F.col("__m") >= low)
-    marked = label_components(weak, "z", 4, keep=("__m",))
+    weak = (ridge_cells if thin else gradient_magnitude)(df, value, sigma, "__m").filter(F.col("__m") >= low)
+    marked = label_components(weak, "z", 8 if thin else 4, keep=("__m",))
     strong = marked.groupBy("z", "component").agg(F.max("__m").alias("__top")).filter(F.col("__top") >= high)
     return marked.join(strong.select("z", "component"), ["z", "component"], "left_semi").select("z", "y", "x")
 
