@@ -216,9 +216,11 @@ def grf37(spark, d):
     return rounded(graph.boundary_scores(_table(spark, d), arcs).select("z", "label", "boundary"))
 
 
-@query("grf38_tile_grid", "SELECT (i * 10)::INT AS y0, least(i * 10 + 10, 32)::INT AS y1, (j * 10)::INT AS x0, least(j * 10 + 10, 32)::INT AS x1 FROM range(4) a(i), range(4) b(j)")
+@query("grf38_tile_grid", sql("""e AS (SELECT z, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY z)
+  SELECT z, (i * 10)::INT AS y0, least(i * 10 + 10, h)::INT AS y1, (j * 10)::INT AS x0, least(j * 10 + 10, w)::INT AS x1 FROM e, range(4) a(i), range(4) b(j) WHERE i * 10 < h AND j * 10 < w"""))
 def grf38(spark, d):
-    return spark.createDataFrame(graph.tile_grid(32, 32, 10), "y0 int, y1 int, x0 int, x1 int")
+    extents = views.px(spark, d).groupBy("z").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return graph.tiles_of(extents, 10)
 
 
 _DESCENT = """p AS (SELECT z, y, x, v, y * 1048576 + x AS id FROM px), near AS (SELECT a.z, a.id, b.id AS other, b.v FROM p a JOIN p b ON b.z = a.z AND abs(b.y - a.y) + abs(b.x - a.x) <= 1),

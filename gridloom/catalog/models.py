@@ -129,9 +129,12 @@ def src11(spark, d):
     return pyramid.place_labels(views.px(spark, d).select("z", "y", "x"), roi, 4, 6, 2).select("z", "y", "x", "label")
 
 
-@query("src12_unique_paths", "SELECT 'A/b.tif' AS path, 0 AS position UNION ALL SELECT 'c.tif', 2")
+_LISTED = "CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) || '//A.TIF' WHEN 1 THEN p_brand || chr(92) || 'a.tif' ELSE lower(p_brand) || '/a.tif' END"
+
+
+@query("src12_unique_paths", f"WITH l AS (SELECT {_LISTED} AS path, p_partkey AS position FROM part) SELECT arg_min(path, position) AS path, min(position) AS position FROM l GROUP BY regexp_replace(replace(lower(path), chr(92), '/'), '/+', '/', 'g')")
 def src12(spark, d):
-    return files.unique_paths(spark.createDataFrame([("A/b.tif", 0), ("a//B.TIF", 1), ("c.tif", 2)], "path string, position int")).select("path", "position")
+    return files.unique_paths(table(spark, d, "part").select(F.expr(_LISTED).alias("path"), F.col("p_partkey").alias("position"))).select("path", "position")
 
 
 @query("src13_measurement_csv", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0")
@@ -150,10 +153,14 @@ def src14(spark, d):
     return files.read_shards(spark, path).groupBy("slide").agg(F.count("*").alias("n"))
 
 
-@query("src15_annotations", "SELECT 1::BIGINT AS uid, 2 AS class, 1.5::DOUBLE AS x UNION ALL SELECT 7, 1, 4.0")
+@query("src15_annotations", "SELECT o_orderkey AS uid, (o_custkey % 4)::INT AS class, (o_custkey + 0.5)::DOUBLE AS x FROM orders WHERE o_orderkey % 7 <> 0")
 def src15(spark, d):
-    docs = ['{"version": 3, "interactions": [{"uid": 1, "class": 2, "points": [[1.5, 2]]}, {"class": 9}]}', '{"interactions": [{"uid": 7, "class": 1, "points": [[4, 4]], "more": true}]}', "not json"]
-    return files.annotations(spark.createDataFrame([(x,) for x in docs], "value string")).select("uid", "class", F.get("points", F.lit(0))["x"].alias("x"))
+    """A document an order; every seventh is cut off, and every one holds a gesture without an id and a field of a later version."""
+    text = F.concat(
+        F.lit('{"version": 3, "interactions": [{"uid": '), "o_orderkey", F.lit(', "class": '), F.col("o_custkey") % 4, F.lit(', "points": [['), F.col("o_custkey"), F.lit('.5, 2]], "more": true}, {"class": 9}]}')
+    )
+    documents = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, F.substring(text, 1, 30)).otherwise(text).alias("value"))
+    return files.annotations(documents).select("uid", "class", F.get("points", F.lit(0))["x"].alias("x"))
 
 
 @query("snk03_segment_csv", sql("SELECT z::VARCHAR AS slice_index, count(*) AS n FROM regions GROUP BY 1"))

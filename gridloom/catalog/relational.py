@@ -213,10 +213,16 @@ def jn20(spark, d):
     return _regions(spark, d).join(score, ["z", "label"], "left").select("z", "label", "area", F.coalesce("score", F.lit(0)).alias("score"))
 
 
-@query("jn22_name_compatibility", "SELECT 'b' AS missing, 'd' AS extra")
+@query("jn22_name_compatibility", """WITH n AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS have FROM events GROUP BY user_id), w AS (SELECT list_sort(list(DISTINCT event_type)) AS want FROM events WHERE user_id % 2 = 0)
+  SELECT user_id, coalesce(array_to_string(list_filter(want, lambda x: NOT list_contains(have, x)), ','), '') AS missing, coalesce(array_to_string(list_filter(have, lambda x: NOT list_contains(want, x)), ','), '') AS extra FROM n, w""")
 def jn22(spark, d):
-    have, want = F.array(*[F.lit(c) for c in "acd"]), F.array(*[F.lit(c) for c in "abc"])
-    return spark.range(1).select(F.array_join(F.array_except(want, have), ",").alias("missing"), F.array_join(F.array_except(have, want), ",").alias("extra"))
+    """Each user's names against those that the even users have together."""
+    e = views.table(spark, d, "events")
+    want = e.filter("user_id % 2 = 0").agg(F.sort_array(F.collect_set("event_type")).alias("want"))
+    have = e.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("have"))
+    # One row of the few names.
+    both = have.join(F.broadcast(want))
+    return both.select("user_id", F.array_join(F.array_except("want", "have"), ",").alias("missing"), F.array_join(F.array_except("have", "want"), ",").alias("extra"))
 
 
 @query("set01_intersection", sql("SELECT z, label FROM regions WHERE area > 12 INTERSECT SELECT z - 1, label FROM regions WHERE mean_v > 195"))

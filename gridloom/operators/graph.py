@@ -358,3 +358,11 @@ def nearest_within(asked: DataFrame, points: DataFrame, radius: int, item: str =
     met = spread.join(placed, [item, "__ty", "__tx"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
     best = met.groupBy(item, "y", "x").agg(F.min(F.struct("d2", "label")).alias("m"))
     return best.select(item, "y", "x", "m.label", "m.d2")
+
+
+def tiles_of(extents: DataFrame, size: int, item: str = "z") -> DataFrame:
+    """``item, y0, y1, x0, x1``: the tiles that cover each item's ``height`` by ``width``, cut at its edges."""
+    begins = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1, F.lit(size)))
+    rows = extents.filter("height > 0 AND width > 0").withColumn("y0", begins("height")).withColumn("x0", begins("width"))
+    end = lambda c, most: F.least(F.col(c) + size, F.col(most).cast("int"))
+    return rows.select(item, "y0", end("y0", "height").alias("y1"), "x0", end("x0", "width").alias("x1"))

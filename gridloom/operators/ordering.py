@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.ranking import global_rank
+from gridloom.plans.durable import Rounds, durable
+from gridloom.plans.ranking import global_rank, rank_within
 
 
 def natural_key(name: Column, digits: int = 20) -> Column:
@@ -56,20 +58,60 @@ def score_ranked(df: DataFrame, score: str, ident: str, least_area: int = 0, by:
     return df.filter(F.col("area") >= least_area).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), ident)))
 
 
-def spaced(df: DataFrame, distance: float, most: int, item: str = "z") -> DataFrame:
-    """Best candidates that keep the distance from all better ones, per item.
+#: Candidates of an item among which one task chooses.
+SMALL_ITEM = 100_000
 
-    ``df`` has ``item, label, rank, ext_y, ext_x``.  The choice is sequential;
-    a task holds the candidates of one item.
-    """
 
+def _spaced_in_one_task(df: DataFrame, distance: float, item: str) -> DataFrame:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: list[tuple[float, float]] = []
         rows = []
         for r in pdf.sort_values("rank").itertuples(index=False):
-            if len(taken) < most and all((r.ext_y - y) ** 2 + (r.ext_x - x) ** 2 >= distance**2 for y, x in taken):
+            if all((r.ext_y - y) ** 2 + (r.ext_x - x) ** 2 >= distance**2 for y, x in taken):
                 taken.append((r.ext_y, r.ext_x))
-                rows.append((getattr(r, item), r.label, len(taken)))
-        return pd.DataFrame(rows, columns=[item, "label", "pick"]).astype({item: "int32", "label": "int32", "pick": "int32"})
+                rows.append((getattr(r, item), r.label, r.rank))
+        return pd.DataFrame(rows, columns=[item, "label", "rank"]).astype({item: "int32", "label": "int32", "rank": "int64"})
+
+    return df.groupBy(item).applyInPandas(choose, f"{item} int, label int, rank long")
+
 
-    return df.select(item, "label", "rank", "ext_y", "ext_x").groupBy(item).applyInPandas(choose, f"{item} int, label int, pick int")
+def _spaced_by_rounds(df: DataFrame, distance: float, item: str, most_rounds: int = 10_000) -> DataFrame:
+    """Rounds of local winners on a grid of cells as wide as the distance.
+
+    The best that is left among a cell and its eight neighbours has no better
+    one within reach, so it stays, and what lies within reach of it goes.  A cell
+    has at most one winner a round, so no row meets more than nine.
+    """
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    around = lambda rows: rows.withColumn("s", step).withColumns({"cy": F.col("cy") + F.col("s.a"), "cx": F.col("cx") + F.col("s.b")}).drop("s")
+    rounds, chosen = Rounds(df.sparkSession, "spaced"), []
+    left = rounds.write(df.withColumns({"cy": F.floor(F.col("ext_y") / distance).cast("long"), "cx": F.floor(F.col("ext_x") / distance).cast("long")}))
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        best = around(left.groupBy(item, "cy", "cx").agg(F.min("rank").alias("best"))).groupBy(item, "cy", "cx").agg(F.min("best").alias("best"))
+        won = durable(left.join(best, [item, "cy", "cx"]).filter("rank = best").drop("best"), "spaced-won")
+        chosen.append(won.select(item, "label", "rank"))
+        reach = around(won.select(item, "cy", "cx", F.col("ext_y").alias("wy"), F.col("ext_x").alias("wx"), F.lit(True).alias("won")))
+        near = left.join(reach, [item, "cy", "cx"]).filter((F.col("ext_y") - F.col("wy")) ** 2 + (F.col("ext_x") - F.col("wx")) ** 2 < distance**2)
+        gone = near.select(item, "rank").union(won.select(item, "rank")).distinct()
+        left = rounds.write(left.join(gone, [item, "rank"], "left_anti"))
+    else:
+        raise RuntimeError(f"candidates are left after {most_rounds} rounds")
+    return reduce(DataFrame.union, chosen) if chosen else df.select(item, "label", "rank")
+
+
+def spaced(df: DataFrame, distance: float, most: int, item: str = "z", small: int = SMALL_ITEM) -> DataFrame:
+    """``item, label, pick``: the best ``most`` candidates that keep the distance from all better ones, per item.
+
+    ``df`` has ``item, label, rank, ext_y, ext_x`` with ranks that tell the
+    candidates of an item apart.  Items of up to ``small`` candidates are chosen
+    from in one task each, larger ones in rounds; both choose the same.
+    """
+    rows = df.select(item, F.col("label").cast("int").alias("label"), F.col("rank").cast("long").alias("rank"), F.col("ext_y").cast("double").alias("ext_y"), F.col("ext_x").cast("double").alias("ext_x"))
+    large = durable(rows.groupBy(item).agg(F.count("*").alias("n")).filter(F.col("n") > small).select(item), "spaced-large")
+    if large.isEmpty():
+        kept = _spaced_in_one_task(rows, distance, item)
+    else:
+        kept = _spaced_in_one_task(rows.join(large, item, "left_anti"), distance, item).union(_spaced_by_rounds(rows.join(large, item, "left_semi"), distance, item))
+    return rank_within(kept, [item], ["rank"], "pick").filter(F.col("pick") <= most).select(item, "label", F.col("pick").cast("int").alias("pick"))

@@ -549,3 +549,20 @@ def test_mixture_over_bins_equals_that_over_values(spark):
                 assert abs(have - want) <= 2e-3 * max(1, abs(want) % 1e6), (name, c)
         again = measure.gmm(df.repartition(5), "v", ["g"], trim=0.0, k=k, rounds=500, tol=1e-10)
         assert [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in again.filter("g IS NOT NULL").collect()] == [tuple(round(v, 6) if isinstance(v, float) else v for v in got[name])]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rounds_choose_what_the_sequence_does(spark, seed):
+    rng = random.Random(seed)
+    rows = [(z, k, r, float(rng.randrange(20)), float(rng.randrange(20))) for z in range(3) for k, r in enumerate(rng.sample(range(1000), 80))]
+    df = spark.createDataFrame(rows, "z int, label int, rank int, ext_y double, ext_x double")
+    want = set()
+    for z in range(3):
+        taken = []
+        for _, k, _, y, x in sorted((r for r in rows if r[0] == z), key=lambda r: r[2]):
+            if len(taken) < 9 and all((y - b) ** 2 + (x - a) ** 2 >= 16 for _, b, a in taken):
+                taken.append((k, y, x))
+        want |= {(z, k, n) for n, (k, _, _) in enumerate(taken, 1)}
+    for small in (0, 1000):
+        assert {tuple(r) for r in ordering.spaced(df, 4.0, 9, small=small).collect()} == want
+    assert ordering.spaced(df.limit(0), 4.0, 9, small=0).count() == 0
