@@ -185,8 +185,10 @@ def grf18(spark, d):
     e = table(spark, d, "embeddings").select(F.lit(0).alias("z"), F.col("vec_id").alias("label"), F.col("embedding").cast("array<double>").alias("latent"), (F.col("label") > 4).cast("int").alias("y"))
     arcs = e.select("z", F.col("label").alias("a"), (F.col("label") + 1).alias("b"))
     ring = graph.latent_ring(e, arcs).select("z", "label", "ring_latent")
-    wide = e.join(ring, ["z", "label"]).select("label", "y", *[F.get("latent", F.lit(k)).alias(f"l{k}") for k in range(64)], *[F.get("ring_latent", F.lit(k)).alias(f"r{k}") for k in range(64)])
-    return learn.predict(learn.fit_classifier(wide, [f"{p}{k}" for p in "lr" for k in range(64)], "y"), wide, ["label"]).select("label", "predicted")
+    # Sums of eight dimensions each, so that all 64 count in a model of sixteen features.
+    block = lambda c, k: F.aggregate(F.slice(c, 8 * k + 1, 8), F.lit(0.0), lambda t, v: t + v)
+    wide = e.join(ring, ["z", "label"]).select("label", "y", *[block("latent", k).alias(f"l{k}") for k in range(8)], *[block("ring_latent", k).alias(f"r{k}") for k in range(8)])
+    return learn.predict(learn.fit_classifier(wide, [f"{p}{k}" for p in "lr" for k in range(8)], "y"), wide, ["label"]).select("label", "predicted")
 
 
 @query("grf30_strategies", "SELECT * FROM (VALUES ('basin'), ('null')) t(name)")
