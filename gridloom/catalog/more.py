@@ -235,11 +235,18 @@ def snk04(spark, d):
     return spark.read.option("header", True).csv(path).groupBy("slice_index").agg(F.count("*").alias("n"))
 
 
-@query("snk06_raw_labels", sql("SELECT z, 4096::BIGINT AS bytes FROM px GROUP BY z"))
+@query("snk06_raw_labels", sql("SELECT z, 4096::BIGINT AS bytes, sum(label * (y * 32 + x + 1))::BIGINT AS placed FROM lab GROUP BY z"))
 def snk06(spark, d):
+    """The labels are read back from the bytes and weighed with their places."""
+    import numpy as np
+
     from gridloom.sources.raw import encode_slices
 
-    return encode_slices(views.lab(spark, d), "label", 32, 32).select("z", F.length("content").cast("long").alias("bytes"))
+    def weigh(raw):
+        labels = np.frombuffer(bytes(raw), "<i4").astype("i8")
+        return int(labels @ np.arange(1, len(labels) + 1))
+
+    return encode_slices(views.lab(spark, d), "label", 32, 32).select("z", F.length("content").cast("long").alias("bytes"), F.udf(weigh, "long")("content").alias("placed"))
 
 
 @query("snk10_labeled_regions", sql("SELECT z, label, label % 5 AS class, area FROM regions WHERE label % 5 > 0"))

@@ -11,7 +11,7 @@ from gridloom.catalog import query, rounded
 from gridloom.functions import udtfs
 from gridloom.operators import gestures, measure
 from gridloom.plans.durable import fresh_path
-from gridloom.sources import files, raw, tiff
+from gridloom.sources import codecs, files, raw, tiff
 from gridloom.views import sql, table
 
 
@@ -21,48 +21,51 @@ def src02(spark, d):
     return table(spark, d, "part").select("p_partkey", files.name_matches(name, "1").alias("holds"), files.name_matches(name, "#[12]", regex=True).alias("matches"), files.name_matches(name).alias("always"))
 
 
-def _tiffs(spark, d, value, kind):
+def _tiffs(spark, d, value, kind, **layout):
     folder = fresh_path(spark, "tiff")
-    encoded = tiff.encode_slices(views.px(spark, d), value, kind, 32, 32)
+    encoded = tiff.encode_slices(views.px(spark, d).withColumn("opaque", F.lit(255)), value, kind, 32, 32, **layout)
     files.write_binaries(encoded.select(F.format_string("s_%02d.tif", "z").alias("name"), "content"), folder)
     return folder
 
 
 @query("src03_single_plane_tiff", sql("SELECT z, y, x, v FROM px"))
 def src03(spark, d):
-    got = tiff.read_single(spark, _tiffs(spark, d, "v", "f4"))
+    """Tiles that don't divide the slice, deflated."""
+    got = tiff.read_single(spark, _tiffs(spark, d, "v", "f4", tile=(16, 48), compression=codecs.DEFLATE))
     return got.select("z", "y", "x", F.col("v").cast("double").alias("v"))
 
 
-@query("src04_tiff_planes", sql("SELECT z, y, x, 1 AS n_planes, v AS first FROM px"))
+@query("src03_tiff_box", sql("SELECT z, y, x, v FROM px WHERE z >= 2 AND z < 5 AND y >= 7 AND y < 21 AND x >= 18"))
+def src03_box(spark, d):
+    """A box reads the tiles that it meets."""
+    folder = _tiffs(spark, d, "v", "i4", tile=(16, 16), compression=codecs.LZW, predictor=2)
+    got = tiff.read_single(spark, folder, {"z": (2, 5), "y": (7, 21), "x": (18, 32)})
+    return got.select("z", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+@query("src04_tiff_planes", sql("SELECT z, y, x, 3 AS n_planes, v AS first, g AS second, b AS third FROM px"))
 def src04(spark, d):
-    got = tiff.read_planes(spark, _tiffs(spark, d, "v", "i4"))
-    return got.select("z", "y", "x", F.size("planes").alias("n_planes"), F.get("planes", F.lit(0)).cast("double").alias("first"))
+    """Colour and alpha, chunky and tiled; alpha goes."""
+    got = tiff.read_planes(spark, _tiffs(spark, d, ["v", "g", "b", "opaque"], "i4", tile=(16, 16), compression=codecs.LZW, predictor=2, planar=False))
+    plane = lambda k: F.get("planes", F.lit(k)).cast("double")
+    return got.select("z", "y", "x", F.size("planes").alias("n_planes"), plane(0).alias("first"), plane(1).alias("second"), plane(2).alias("third"))
 
 
 @query("src05_raw_volume", sql("SELECT z, y, x, v FROM px"))
 def src05(spark, d):
-    import numpy as np
-
+    """A volume of one slice a file, so that no group holds more than a slice."""
     folder = fresh_path(spark, "raw")
+    slices = raw.encode_slices(views.px(spark, d), "v", 32, 32, kind="<f4")
+    files.write_binaries(slices.select(F.format_string("%02d_32x32x1.raw", "z").alias("name"), "content"), folder)
+    return raw.read_volumes(spark, folder).select(F.regexp_extract("path", r"(\d+)_32x32x1", 1).cast("int").alias("z"), "y", "x", F.col("v").cast("double").alias("v"))
 
-    def pack(pdf):
-        import pandas as pd
 
-        grid = np.zeros((7, 32, 32), "<f4")
-        grid[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
-        return pd.DataFrame({"name": ["v_32x32x7.raw"], "content": [grid.tobytes()]})
-
-    volume = views.px(spark, d).select("z", "y", "x", "v").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(pack, "name string, content binary")
-    files.write_binaries(volume, folder)
-    return raw.read_volumes(spark, folder).select("z", "y", "x", F.col("v").cast("double").alias("v"))
-
-
-@query("src07_volume_channels", sql("SELECT z, y, x, greatest(v, b) AS reduced FROM px"))
+@query("src07_volume_channels", sql("SELECT z, y, x, greatest(v, g, b) AS reduced, 0.25 AS sx, 0.25 AS sy, 1.5 AS sz FROM px"))
 def src07(spark, d):
-    from gridloom.operators.planes import reduce_planes
-
-    return views.px(spark, d).select("z", "y", "x", reduce_planes(F.array("v", "b"), "max").alias("reduced"))
+    """Colour slices as a volume of their largest sample, with the spacing that the tags tell."""
+    folder = _tiffs(spark, d, ["v", "g", "b"], "i4", compression=codecs.PACKBITS, resolution=(4, 1), description="ImageJ=1.0\nspacing=1.5\n")
+    volume = tiff.load_volume(spark, folder, "max").join(tiff.read_spacing(spark, folder), "path")
+    return volume.select("z", "y", "x", F.col("v").cast("double").alias("reduced"), "sx", "sy", "sz")
 
 
 @query("src08_stack_slices", sql("SELECT z, count(*) AS cells FROM px GROUP BY z"))

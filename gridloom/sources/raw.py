@@ -39,12 +39,12 @@ def read_volumes(spark: SparkSession, path: str, dims: tuple[int, int, int] | No
     return named.mapInPandas(rows, "path string, z int, y int, x int, v float")
 
 
-def encode_slices(pixels: DataFrame, value: str, width: int, height: int, item: str = "z") -> DataFrame:
-    """``item, content``: little-endian int32 rows of each slice, 0 where no cell is."""
+def encode_slices(pixels: DataFrame, value: str, width: int, height: int, item: str = "z", kind: str = "<i4") -> DataFrame:
+    """``item, content``: rows of each slice, little-endian int32 unless told otherwise, 0 where no cell is."""
     key = pixels.schema[item].dataType.simpleString()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width), "<i4")
+        grid = np.zeros((height, width), kind)
         grid[pdf["y"], pdf["x"]] = pdf[value]
         return pd.DataFrame({item: [pdf[item].iloc[0]], "content": [grid.tobytes()]})
 
