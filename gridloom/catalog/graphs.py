@@ -387,6 +387,16 @@ def grf34(spark, d):
     return rounded(seams.cheapest_paths(t, seeds))
 
 
+@query("grf34_livewire", None)
+def grf34_livewire(spark, d):
+    """In every slice a trace over its first, last, dearest and cheapest seam; the third point is dropped and set anew."""
+    t = seams.tolls(seams.affinity(seams.seam_table(_seams(spark, d)), views.arcs(spark, d)))
+    spots = t.groupBy("z").agg(F.min("seam").alias("p0"), F.max("seam").alias("p1"), F.max_by("seam", F.struct("toll", "seam")).alias("p2"), F.lit(None).cast("long").alias("p3"), F.min_by("seam", F.struct("toll", "seam")).alias("p4"))
+    point = lambda k, idx: F.struct(F.lit(k).alias("ordinal"), F.col(f"p{k}").alias("seam"), F.lit(idx).alias("idx"))
+    events = spots.select("z", F.lit(0).alias("trace"), F.inline(F.array(point(0, 0), point(1, 2), point(2, 1), point(3, 0), point(4, 1))))
+    return rounded(seams.livewire(events, t))
+
+
 @query("grf35_seam_gestures", None)
 def grf35(spark, d):
     s = _seams(spark, d)
