@@ -8,6 +8,7 @@ from gridloom import views
 from gridloom.catalog import query, rounded
 from gridloom.catalog.rasters import CC, EIGHT, FOUR
 from gridloom.operators import graph, linking, raster, seams, stats, topology
+from gridloom.plans.durable import durable
 from gridloom.views import sql
 
 MASK = CC.format(src="mask", near=FOUR)
@@ -267,8 +268,6 @@ _KRUSKAL = f"""{_DESCENT.replace(' bt AS (', ' bt AS MATERIALIZED (').replace('
 
 
 def _tree(spark, d, **how):
-    from gridloom.plans.durable import durable
-
     labelled = durable(topology.basins(views.px(spark, d).select("z", "y", "x", "v")), "basins")
     table, arcs = topology.basin_table(labelled), topology.basin_arcs(labelled)
     return table, arcs, durable(topology.persistence(table, arcs, **how), "deaths")
@@ -365,8 +364,6 @@ def grf31_seams(spark, d):
 
 
 def _seams(spark, d):
-    from gridloom.plans.durable import durable
-
     return durable(seams.seams(seams.cracks(views.blocks(spark, d), 32)), "seams")
 
 
@@ -389,12 +386,13 @@ def grf34(spark, d):
 
 @query("grf34_livewire", None)
 def grf34_livewire(spark, d):
-    """In every slice a trace over its first, last, dearest and cheapest seam; the third point is dropped and set anew."""
-    t = seams.tolls(seams.affinity(seams.seam_table(_seams(spark, d)), views.arcs(spark, d)))
-    spots = t.groupBy("z").agg(F.min("seam").alias("p0"), F.max("seam").alias("p1"), F.max_by("seam", F.struct("toll", "seam")).alias("p2"), F.lit(None).cast("long").alias("p3"), F.min_by("seam", F.struct("toll", "seam")).alias("p4"))
-    point = lambda k, idx: F.struct(F.lit(k).alias("ordinal"), F.col(f"p{k}").alias("seam"), F.lit(idx).alias("idx"))
-    events = spots.select("z", F.lit(0).alias("trace"), F.inline(F.array(point(0, 0), point(1, 2), point(2, 1), point(3, 0), point(4, 1))))
-    return rounded(seams.livewire(events, t))
+    """In every slice a trace from one seam of its busiest junction to another, on to the dearest and the cheapest seam; one point is dropped."""
+    t = durable(seams.tolls(seams.affinity(seams.seam_table(_seams(spark, d)), views.arcs(spark, d))), "tolls")
+    busy = seams.junction_seams(t).groupBy("z").agg(F.max_by("seams", F.struct(F.size("seams"), "junction")).alias("s"))
+    spots = t.groupBy("z").agg(F.max_by("seam", F.struct("toll", "seam")).alias("dear"), F.min_by("seam", F.struct("toll", "seam")).alias("cheap")).join(busy, "z")
+    way = ((F.array_min("s"), 0), (F.array_max("s"), 1), (F.array_min("s"), 1), (F.lit(None).cast("long"), 0), (F.col("dear"), 1), (F.col("cheap"), 0))
+    events = F.array(*[F.struct(F.lit(k).alias("ordinal"), seam.alias("seam"), F.lit(idx).alias("idx")) for k, (seam, idx) in enumerate(way)])
+    return rounded(seams.livewire(spots.select("z", F.lit(0).alias("trace"), F.inline(events)), t))
 
 
 @query("grf35_seam_gestures", None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom import views
 from gridloom.catalog import query, rounded
-from gridloom.operators import cells, graph, learn, planes, raster, volume
+from gridloom.operators import cells, graph, learn, planes, raster, search, volume
 from gridloom.plans.durable import fresh_path
 from gridloom.sources import files, pyramid
 from gridloom.views import sql, table
@@ -61,6 +61,13 @@ def mod06(spark, d):
     return rounded(learn.cross_validate(rows, ["area", "m", "b"], "y", "key", 3), digits=3)
 
 
+@query("mod06_search", None)
+def mod06_search(spark, d):
+    """The breakdown of a search by rungs, nine settings at first."""
+    rows = learn.labeled_set(_rows(spark, d)).withColumn("y", F.col("class") - 1)
+    return rounded(search.halving(rows, {"size": ["area"], "value": ["m", "hi"], "tax": ["b"]}, "y", "key")[0], digits=3)
+
+
 @query("mod07_permutation_importance", None)
 def mod07(spark, d):
     rows = learn.labeled_set(_rows(spark, d)).withColumn("y", F.col("class") - 1)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.durable import durable
 from gridloom.plans.ranking import global_rank
 
 
@@ -158,7 +159,7 @@ def permutation_importance(rows: DataFrame, model: Fitted, label: str, key: str,
 
 def cross_validate(rows: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 3, **options) -> DataFrame:
     """Metrics per fold of a binary label; the folds are bounded by ``k``."""
-    folded = assign_folds(rows, key, label, k).cache()
+    folded = durable(assign_folds(rows, key, label, k), "folds")
     parts = []
     for f in sorted(r[0] for r in folded.select("fold").distinct().collect()):
         model = fit_classifier(folded.filter(F.col("fold") != f), columns, label, **options)
