@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import views
 from gridloom.catalog import query, rounded
 from gridloom.operators import cells, graph, learn, planes, raster, search, volume
-from gridloom.plans.durable import fresh_path
+from gridloom.plans.durable import durable, fresh_path
 from gridloom.sources import files, pyramid
 from gridloom.views import sql, table
 
@@ -257,6 +257,13 @@ def grf29(spark, d):
     return volume.basins(views.px(spark, d).select("z", "y", "x", "v")).groupBy("basin").agg(F.count("*").alias("voxels"), F.min("v").alias("low"))
 
 
+@query("grf29_living_volume", None)
+def grf29_living(spark, d):
+    """Regions of the volume and their voxels at four levels of persistence."""
+    labelled = durable(volume.basins(views.px(spark, d).select("z", "y", "x", "v")), "volume")
+    return volume.snapshots(labelled, durable(volume.persistence(labelled), "volume-deaths"), [0.0, 20.0, 60.0, 200.0])
+
+
 @query("grf25_cell_flags", sql("""v AS (SELECT z, y, x, v, ((y // 4) * 8 + x // 4)::INT AS ridge, ((y // 6) * 10 + x // 6)::INT AS cell FROM px), c AS (SELECT cell, count(*) AS n FROM v GROUP BY cell), bg AS (SELECT cell FROM c ORDER BY n DESC, cell LIMIT 1),
   o AS (SELECT ridge, cell AS owner FROM (SELECT ridge, cell, row_number() OVER (PARTITION BY ridge ORDER BY count(*) DESC, cell) AS r FROM v GROUP BY ridge, cell) WHERE r = 1),
   f AS (SELECT v.*, (CASE WHEN v.cell <> (SELECT cell FROM bg) THEN 1 ELSE 8 END) | (CASE WHEN v >= 250 THEN 2 ELSE 0 END) | (CASE WHEN owner <> v.cell THEN 4 ELSE 0 END) AS flags FROM v JOIN o USING (ridge))

@@ -130,7 +130,7 @@ def _in_one_task(table: DataFrame, arcs: DataFrame, item: str) -> DataFrame:
     return both.groupBy(item).applyInPandas(solve, f"{item} {kind}, basin long, into long, height double, persistence double")
 
 
-def _by_contraction(table: DataFrame, arcs: DataFrame, item: str, most_rounds: int = 64) -> DataFrame:
+def _by_contraction(table: DataFrame, arcs: DataFrame, item: str, scale: int = SIDE * SIDE, most_rounds: int = 64) -> DataFrame:
     """The same in rounds over all items at once, whatever the size of one.
 
     Each basin picks its lowest arc; the picks form trees (Boruvka).  A tree's
@@ -141,7 +141,6 @@ def _by_contraction(table: DataFrame, arcs: DataFrame, item: str, most_rounds: i
     their oldest basin.  As the arc that leaves a core is then its lowest, cores
     halve from round to round.
     """
-    scale = SIDE * SIDE
     gid = lambda c: (F.col(item).cast("long") * scale + F.col(c)).alias(c)
     lows = durable(table.select(gid("basin"), F.col("low").cast("double").alias("low")), "merge-lows")
     low = lambda x: lows.select(F.col("basin").alias(x), F.col("low").alias(f"low_{x}"))
@@ -180,11 +179,11 @@ def _by_contraction(table: DataFrame, arcs: DataFrame, item: str, most_rounds: i
     return reduce(DataFrame.union, ends).select(F.floor(F.col("basin") / scale).cast(kind).alias(item), F.pmod("basin", F.lit(scale)).alias("basin"), F.pmod("into", F.lit(scale)).alias("into"), "height", "persistence")
 
 
-def persistence(table: DataFrame, arcs: DataFrame, item: str = "z", small: int = SMALL_ARCS) -> DataFrame:
+def persistence(table: DataFrame, arcs: DataFrame, item: str = "z", small: int = SMALL_ARCS, scale: int = SIDE * SIDE) -> DataFrame:
     """``item, basin, into, height, persistence``; null where a basin never ends.
 
     Items of up to ``small`` arcs are solved in one task each, larger ones by
-    contraction over all tasks; both give the same rows.
+    contraction over all tasks; both give the same rows.  Basins are below ``scale``.
     """
     sizes = durable(arcs.groupBy(item).agg(F.count("*").alias("n")), "merge-sizes")
     large = sizes.filter(F.col("n") > small).select(item)
@@ -192,7 +191,7 @@ def persistence(table: DataFrame, arcs: DataFrame, item: str = "z", small: int =
         ended = _in_one_task(table, arcs, item)
     else:
         parts = [[t.join(large, item, how) for t in (table, arcs)] for how in ("left_anti", "left_semi")]
-        ended = _in_one_task(*parts[0], item).unionByName(_by_contraction(*parts[1], item))
+        ended = _in_one_task(*parts[0], item).unionByName(_by_contraction(*parts[1], item, scale))
     return table.select(item, "basin").join(ended, [item, "basin"], "left")
 
 
