@@ -24,7 +24,7 @@ SEEDS = ("ads", "adult", "bets", "casino", "cheap", "free", "gambling", "loan",
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
