@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,9 +137,10 @@ def hue_of(ident: Column) -> Column:
     return v - F.floor(v)
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, units: Sequence[str] = ("KB", "MB", "GB", "TB")) -> Column:
+    """Bytes, or 1024 of the unit before; what is beyond the last unit stays in it."""
     out = F.format_string("%.0f B", n.cast("double"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units, 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))).otherwise(out)
     return out
 

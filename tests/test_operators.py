@@ -435,6 +435,21 @@ def test_planes_follow_their_rules(spark):
     assert np.allclose(np.linalg.norm(planes.stain_matrix("he"), axis=1), 1)
 
 
+def test_formats_match_their_sql_beyond_a_megabyte(spark, tmp_path):
+    import duckdb
+
+    from gridloom.queries import oracle_sql, queries
+
+    keys = [0, 1, 1023, 1024, 1075, 1076, 1280, 1792, 1024**2 - 1, 1024**2, 1024**2 + 768, 8_999_999, 600_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(oracle_sql()["scl23_formats"]).fetchall()
+    assert sorted(map(tuple, queries()["scl23_formats"](spark, str(tmp_path)).collect())) == sorted(want)
+    whole = spark.createDataFrame([(1024**2,), (3 * 1024**3,)], "n long").select(scalars.human_bytes(F.col("n")).alias("s"))
+    assert [r.s for r in whole.collect()] == ["1.0 MB", "3.0 GB"]
+
+
 def test_command_line_runs_a_workflow(spark, tmp_path):
     import json
 
