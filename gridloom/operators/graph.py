@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from gridloom.operators.raster import AXES
 from gridloom.plans.durable import durable
+from gridloom.plans.ranking import median_within
 from gridloom.plans.relax import relax
 
 
@@ -223,12 +224,19 @@ def latent_ring(rows: DataFrame, arcs: DataFrame, latent: str = "latent", by: Se
     """
     ends = attach(arcs.select(*by, "a", "b"), rows, [latent], by)
     d = F.sqrt(F.aggregate(F.zip_with(f"{latent}_a", f"{latent}_b", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda acc, x: acc + x))
-    measured = durable(ends.withColumn("d", d), "latent-arcs")
-    tau = measured.groupBy(*by).agg(F.median("d").alias("tau"))
-    weighed = measured.join(tau, list(by)).withColumn("w", F.exp(-F.try_divide(F.col("d"), F.greatest("tau", F.lit(1e-12)))))
-    one = lambda s, o: weighed.select(*by, F.col(s).alias("label"), "w", "d", F.posexplode(f"{latent}_{o}").alias("k", "v"))
-    sums = one("a", "b").union(one("b", "a")).groupBy(*by, "label", "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"), F.avg("d").alias("d"))
-    return sums.groupBy(*by, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("ring_latent"), F.avg("d").alias("ring_distance"))
+    long = F.greatest(F.size(f"{latent}_a"), F.size(f"{latent}_b"))
+    measured = durable(ends.withColumn("d", d).withColumn("dims", long), "latent-arcs")
+    dims = range(measured.agg(F.max("dims")).first()[0] or 0)
+    # One number an item: the arcs stay where they are, as an item may hold all of them.
+    tau = F.broadcast(median_within(measured, by, "d", out="tau"))
+    weighed = measured.join(tau, list(by), "left").withColumn("w", F.exp(-F.try_divide(F.col("d"), F.greatest("tau", F.lit(1e-12)))))
+    one = lambda s, o: weighed.select(*by, F.col(s).alias("label"), "w", "d", F.col(f"{latent}_{o}").alias("v"))
+    # A row an end with all its dimensions; a weight is null unless both ends have the same ones.
+    sums = one("a", "b").union(one("b", "a")).filter(F.size("v") > 0).groupBy(*by, "label").agg(
+        *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"v{k}") for k in dims], F.sum("w").alias("w"), F.avg("d").alias("ring_distance"), F.max(F.size("v")).alias("n")
+    )
+    means = F.array(*[F.try_divide(F.col(f"v{k}"), F.col("w")) for k in dims]).cast("array<double>")
+    return sums.select(*by, "label", F.slice(means, F.lit(1), F.col("n")).alias("ring_latent"), "ring_distance")
 
 
 def single_linkage_shape(points: np.ndarray, threshold: float) -> tuple[float, float, float, int]:
@@ -280,7 +288,7 @@ def neighbour_shapes(rows: DataFrame, arcs: DataFrame, latent: str = "latent", m
     limits = far.groupBy(*by).agg((F.avg("d") + z * F.stddev_pop("d")).alias("t"))
     near = far.withColumn("r", F.row_number().over(Window.partitionBy(*by, "src").orderBy("d", "dst"))).filter(F.col("r") <= most)
     rings = near.groupBy(*by, F.col("src").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("ring"))
-    whole = rows.select(*by, "label", vector.alias("own")).join(rings, [*by, "label"], "left").join(limits, list(by), "left")
+    whole = rows.select(*by, "label", vector.alias("own")).join(rings, [*by, "label"], "left").join(F.broadcast(limits), list(by), "left")
     return whole.select(*by, "label", _shapes("own", "ring", F.coalesce("t", F.lit(0.0))).alias("s")).select(*by, "label", "s.*")
 
 

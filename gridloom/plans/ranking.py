@@ -55,3 +55,22 @@ def least_before(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     spans = ends.withColumn("__before", F.min("__m").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__m")
     local = F.min(value).over(Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return _meet(rows, spans, group).withColumn(out, F.least("__before", local)).drop("__range", "__before")
+
+
+def median_within(df: DataFrame, group: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """``group, out``: the exact median of the values of each group that aren't null, as ``percentile`` has it.
+
+    A group may hold any share of the rows: equal values are counted together
+    and cut into ranges, and what a range brings along is one count a range of
+    the group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__k"))
+    rows = _dealt(counts, group, [value])
+    each = rows.groupBy("__range", *group).agg(F.sum("__k").alias("__n"))
+    ahead = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = each.select("__range", *group, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*group)).alias("__all"))
+    local = F.sum("__k").over(Window.partitionBy("__range", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = _meet(rows, spans, group).withColumn("__last", F.col("__before") + local)
+    # Of n values the places from 1 are the floor of (n + 1) / 2 and that of (n + 2) / 2: one place where n is odd.
+    holds = lambda up: ((F.col("__all") + up) / 2).cast("long").between(F.col("__last") - F.col("__k") + 1, F.col("__last"))
+    return last.filter(holds(1) | holds(2)).groupBy(*group).agg((F.min(value) * 0.5 + F.max(value) * 0.5).alias(out))

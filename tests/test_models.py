@@ -98,3 +98,52 @@ def test_metrics_of_sure_scores_match_their_sql(spark, tmp_path):
     got = sorted(map(tuple, queries()["mod05_metrics"](spark, str(tmp_path)).collect()))
     assert [math.isnan(r[5]) for r in want] == [True, False, True]
     assert repr(got) == repr(want)
+
+
+def test_ring_of_latents_matches_a_plain_evaluation(spark):
+    """Two items, a hub, vectors of other lengths and arcs without a row at one end."""
+    r = np.random.default_rng(4)
+    rows = [(z, k, r.normal(size=5).tolist()) for z in (0, 1) for k in range(40)] + [(1, 40, [1.0, 2.0]), (1, 41, None)]
+    arcs = [(z, k, (k * 7 + 3) % 40) for z in (0, 1) for k in range(40)] + [(0, 0, k) for k in range(1, 30)] + [(1, 3, 40), (1, 4, 41), (1, 5, 77)]
+    at, near, found = {(z, k): v for z, k, v in rows}, {}, {}
+    for z, a, b in arcs:
+        u, v = at.get((z, a)), at.get((z, b))
+        if u and v and len(u) == len(v):
+            d = float(np.linalg.norm(np.subtract(u, v)))
+            found.setdefault(z, []).append(d)
+            near.setdefault((z, a), []).append((d, v))
+            near.setdefault((z, b), []).append((d, u))
+    df = spark.createDataFrame(rows, "z int, label long, latent array<double>")
+    got = {(x.z, x.label): x for x in graph.latent_ring(df, spark.createDataFrame(arcs, "z int, a long, b long")).collect()}
+    for k, ends in near.items():
+        w = np.exp([-d / np.median(found[k[0]]) for d, _ in ends])
+        assert np.allclose([x for x in got[k].ring_latent if x is not None], w @ np.array([v for _, v in ends]) / w.sum()) and abs(got[k].ring_distance - np.mean([d for d, _ in ends])) < 1e-12
+    assert set(got) - set(near) == {(1, 40), (1, 41)} and got[1, 40].ring_latent == got[1, 41].ring_latent == [None] * 5
+
+
+def test_median_within_is_the_percentile(spark):
+    from gridloom.plans.ranking import median_within
+
+    r = random.Random(2)
+    rows = [("one", r.random()) for _ in range(501)] + [("even", r.random()) for _ in range(400)] + [("ties", float(r.randrange(3))) for _ in range(300)] + [("single", 4.5), ("nulls", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = df.filter("v IS NOT NULL").groupBy("g").agg(F.median("v").alias("median"))
+    assert {tuple(x) for x in median_within(df, ["g"], "v").collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_ring_of_latents_leaves_an_items_arcs_where_they_are(spark):
+    """One item holds all arcs: no task may get them all, neither for the median nor for the sums."""
+    n = 3000
+    df = spark.range(n).select(F.lit(0).alias("z"), F.col("id").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.rand(3) + k).alias("latent"))
+    arcs = spark.range(n).select(F.lit(0).alias("z"), F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        got = graph.latent_ring(df, arcs)
+        sizes = [x["count"] for x in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < n / 2
