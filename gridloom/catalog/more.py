@@ -188,6 +188,8 @@ def grf18(spark, d):
     # Sums of eight dimensions each, so that all 64 count in a model of sixteen features.
     block = lambda c, k: F.aggregate(F.slice(c, 8 * k + 1, 8), F.lit(0.0), lambda t, v: t + v)
     wide = e.join(ring, ["z", "label"]).select("label", "y", *[block("latent", k).alias(f"l{k}") for k in range(8)], *[block("ring_latent", k).alias(f"r{k}") for k in range(8)])
+    # The fit reads it several times.
+    wide = durable(wide, "latent-head")
     return learn.predict(learn.fit_classifier(wide, [f"{p}{k}" for p in "lr" for k in range(8)], "y"), wide, ["label"]).select("label", "predicted")
 
 
