@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,13 @@ def to_parquet(df: DataFrame, label: str = "stream", mode: str = "append") -> Da
 
 
 class InOrder(StatefulProcessor):
-    """The next index of a sequence, and a list of those that wait for one before them."""
+    """The next index of a sequence, and those that wait for one before them: the sorted offsets of each block of indices.
+
+    A worker holds what is gathered, one block and a number a block, however many wait.
+    """
+
+    #: Indices of a block, whose offsets fit two bytes, and how many are gathered before they go to the state.
+    BLOCK, GATHERED = 1 << 14, 1 << 18
 
     def __init__(self, columns: tuple[str, str], time: str | None, patience_ms: int) -> None:
         self.columns, self.time, self.patience_ms = columns, time, patience_ms
@@ -46,38 +53,68 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.expected = handle.getValueState("expected", "at long")
-        self.waiting = handle.getListState("waiting", "at long")
-
-    def _release(self, key: tuple, held: set[int], skip: bool) -> Iterator[pd.DataFrame]:
-        at = self.expected.get()[0] if self.expected.exists() else 0
-        out = []
-        for v in sorted(held):
-            if v == at or (skip and v > at):
-                out.append(v)
-                at = v + 1
-        rest = sorted(v for v in held if v >= at)
-        self.expected.update((at,))
-        self.waiting.put([(v,) for v in rest]) if rest else self.waiting.clear()
-        yield pd.DataFrame({self.columns[0]: [key[0]] * len(out), self.columns[1]: out, "flushed": [skip] * len(out)})
-
-    def _held(self) -> set[int]:
-        return {int(v[0]) for v in self.waiting.get()} if self.waiting.exists() else set()
+        self.waiting = handle.getMapState("waiting", "block long", "offsets binary")
+
+    def _offsets(self, block: int) -> np.ndarray:
+        stored = self.waiting.getValue((block,))
+        return np.frombuffer(stored[0] if stored else b"", "<u2")
+
+    def _keep(self, gathered: list[np.ndarray]) -> None:
+        indices = np.unique(np.concatenate(gathered))
+        cuts = [0, *(np.flatnonzero(np.diff(indices // self.BLOCK)) + 1).tolist(), len(indices)]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if stop > start:
+                block = int(indices[start] // self.BLOCK)
+                offsets = (indices[start:stop] - block * self.BLOCK).astype("<u2")
+                self.waiting.updateValue((block,), (np.union1d(self._offsets(block), offsets).tobytes(),))
+
+    def _next(self, at: int) -> Iterator[np.ndarray]:
+        """The indices from ``at`` up to the first that isn't there, block by block."""
+        while True:
+            block, first = divmod(at, self.BLOCK)
+            offsets = self._offsets(block)
+            gaps = np.flatnonzero(offsets != first + np.arange(len(offsets)))
+            n = int(gaps[0]) if len(gaps) else len(offsets)
+            if n:
+                rest = offsets[n:]
+                self.waiting.updateValue((block,), (rest.tobytes(),)) if len(rest) else self.waiting.removeKey((block,))
+                yield at + np.arange(n)
+            at += n
+            if not n or at % self.BLOCK:
+                return
+
+    def _all(self) -> Iterator[np.ndarray]:
+        """All that wait, over the gaps."""
+        for block in np.sort(np.fromiter((k[0] for k in self.waiting.keys()), np.int64)).tolist() if self.waiting.exists() else []:
+            yield block * self.BLOCK + self._offsets(block).astype(np.int64)
+        self.waiting.clear()
+
+    def _release(self, key: tuple, parts: Iterator[np.ndarray], skip: bool) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            self.expected.update((int(part[-1]) + 1,))
+            yield pd.DataFrame({self.columns[0]: key[0], self.columns[1]: part, "flushed": skip})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at = self.expected.get()[0] if self.expected.exists() else 0
-        held, newest = self._held(), 0
+        gathered, newest = [], 0
         for pdf in rows:
-            held |= {int(v) for v in pdf[self.columns[1]] if v >= at}
+            indices = pdf[self.columns[1]]
+            gathered.append(indices[indices >= at].to_numpy().astype(np.int64))
             newest = max(newest, int(pdf[self.time].max().timestamp() * 1000)) if self.time else 0
-        yield from self._release(key, held, False)
+            if sum(map(len, gathered)) >= self.GATHERED:
+                self._keep(gathered)
+                gathered = []
+        if gathered:
+            self._keep(gathered)
+        yield from self._release(key, self._next(at), False)
         if self.time:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if self._held():
+            if self.waiting.exists():
                 self.handle.registerTimer(newest + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, self._held(), True)
+        yield from self._release(key, self._all(), True)
 
     def close(self) -> None:
         pass
@@ -89,7 +126,8 @@ def in_order(slices: DataFrame, sequence: str = "sequence", index: str = "index"
     Indices start at 0; those already released and repeats are dropped.  With
     ``time``, what still waits when the watermark is the patience past the last
     arrival is released over the gap (``flushed``), and what would have filled
-    it is dropped if it comes in a later trigger.  State: one number and the waiting indices of a sequence.
+    it is dropped if it comes in a later trigger.  State: one number and the
+    waiting indices of a sequence, two bytes each in blocks.
     """
     kept = slices.select(F.col(sequence).cast("long").alias(sequence), F.col(index).cast("long").alias(index), *([time] if time else []))
     kept = kept.withWatermark(time, late) if time else kept

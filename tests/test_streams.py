@@ -63,3 +63,79 @@ def test_indices_wait_repeats_go_and_gaps_are_flushed(spark):
 def test_without_a_time_gaps_wait(spark):
     got = to_parquet(in_order(arriving(spark, [[(1, 1), (1, 0)], [(1, 3)]], "sequence long, index long"))).collect()
     assert sorted(map(tuple, got)) == [(1, 0, False), (1, 1, False)]
+
+
+class Store:
+    """A handle, and its value, list and map states of one key, in plain Python."""
+
+    def __init__(self):
+        self.value, self.items, self.map, self.timers = None, [], {}, set()
+        self.getValueState = self.getListState = self.getMapState = lambda name, *schema: {"expected": Cell(self, "value"), "waiting": Cell(self, "items" if len(schema) == 1 else "map")}[name]
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: set(self.timers), self.timers.discard, self.timers.add
+
+
+class Cell:
+    def __init__(self, store, kind):
+        self.store, self.kind = store, kind
+        self.put, self.update = (lambda v: setattr(store, kind, v),) * 2
+        self.get = lambda: getattr(store, kind)
+        self.exists = lambda: bool(getattr(store, kind))
+        self.clear = lambda: setattr(store, kind, type(getattr(store, kind))())
+        self.getValue, self.keys = store.map.get, lambda: iter(list(store.map))
+        self.updateValue, self.removeKey = store.map.__setitem__, store.map.pop
+
+
+def processor(store):
+    from gridloom.streaming.stateful import InOrder
+
+    p = InOrder(("sequence", "index"), "ts", 1000)
+    p.init(store)
+    return p
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_release_what_a_set_would(seed, monkeypatch):
+    import pandas as pd
+
+    from gridloom.streaming.stateful import InOrder
+
+    monkeypatch.setattr(InOrder, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(InOrder, "GATHERED", 16, raising=False)
+    rng = random.Random(seed)
+    store, at, held = Store(), 0, set()
+    p = processor(store)
+    todo = [i for i in range(200) if i % 50 != 7 or seed % 2] + [10_000, -3, 5, 5]
+    rng.shuffle(todo)
+    while todo:
+        batch, todo = todo[:45], todo[45:]
+        pdfs = [pd.DataFrame({"index": batch[k : k + 10], "ts": pd.Timestamp(1, unit="s")}) for k in range(0, len(batch), 10)]
+        got = [(r.sequence, r.index_, r.flushed) for pdf in p.handleInputRows((3,), iter(pdfs), None) for r in pdf.rename(columns={"index": "index_"}).itertuples()]
+        held |= {i for i in batch if i >= at}
+        want = []
+        while at in held:
+            held.remove(at)
+            want.append((3, at, False))
+            at += 1
+        assert got == want and bool(store.timers) == bool(held)
+    got = [(r.sequence, r.index_, r.flushed) for pdf in p.handleExpiredTimer((3,), None, None) for r in pdf.rename(columns={"index": "index_"}).itertuples()]
+    assert got == [(3, i, True) for i in sorted(held)] and not store.map
+
+
+def test_a_long_sequence_waits_in_little_memory():
+    """A million and a half indices behind a gap: the worker may not hold them as Python objects, nor as one frame."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, step = 1_500_000, 10_000
+    p = processor(Store())
+    pdfs = (pd.DataFrame({"index": np.arange(k, k + step)[::-1], "ts": pd.Timestamp(1, unit="s")}) for k in range(n - step, -1, -step))
+    tracemalloc.start()
+    longest = total = 0
+    for frames in (p.handleInputRows((0,), (d[d["index"] != 7] for d in pdfs), None), p.handleExpiredTimer((0,), None, None)):
+        for pdf in frames:
+            longest, total = max(longest, len(pdf)), total + len(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == n - 1 and longest <= 1 << 16 and peak < 50e6
