@@ -89,8 +89,17 @@ def seam_documents(table: DataFrame, item: str = "z") -> DataFrame:
     return table.groupBy(item).agg(F.to_json(F.struct(F.count("*").alias("n_seams"), F.array_sort(F.collect_list(fields)).alias("seams"))).alias("document"))
 
 
+#: How many files a task may hold open at once; only beyond them does it sort its rows by their folders.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def write_shards(rows: DataFrame, path: str, keys: Sequence[str] = ("slide", "tile", "factor")) -> None:
-    """Harvest shards; keys that are already there are left alone, so a job may be run again."""
+    """Harvest shards; keys that are already there are left alone, so a job may be run again.
+
+    The keys that are there are as many as the folders that Spark lists in the
+    driver, and are broadcast: a key may hold any share of the rows.  Tasks of
+    an even size write them, a few keys at a time and so without a sort.
+    """
     spark = rows.sparkSession
     try:
         there = spark.read.parquet(path).select(*keys).distinct()
@@ -98,8 +107,13 @@ def write_shards(rows: DataFrame, path: str, keys: Sequence[str] = ("slide", "ti
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         there = None
-    new = rows if there is None else rows.join(there, list(keys), "left_anti")
-    new.write.mode("append").partitionBy(*keys).parquet(path)
+    new = rows if there is None else rows.join(F.broadcast(there), list(keys), "left_anti")
+    before = spark.conf.get(WRITERS, None)
+    spark.conf.set(WRITERS, "8")
+    try:
+        new.hint("rebalance", *[F.col(k) for k in keys]).write.mode("append").partitionBy(*keys).parquet(path)
+    finally:
+        spark.conf.unset(WRITERS) if before is None else spark.conf.set(WRITERS, before)
 
 
 def read_shards(spark: SparkSession, path: str, factors: Sequence[float] | None = None, budget: int | None = None, seed: int = 0, keys: Sequence[str] = ("slide", "tile", "factor")) -> DataFrame:

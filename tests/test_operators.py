@@ -428,6 +428,23 @@ def test_shards_are_written_once(spark, tmp_path):
     assert files.read_shards(spark, str(tmp_path / "x"), budget=5).count() == 5
 
 
+def test_a_shard_of_all_rows_is_written_by_several_tasks(spark, tmp_path):
+    """One key holds nearly all rows; a job that is run again may not send them to one task."""
+    rows = spark.range(200_000).select(F.when(F.col("id") < 5, "a").otherwise("b").alias("slide"), F.lit(0).alias("tile"), F.lit(1).alias("factor"), F.rand(1).alias("v"))
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    before = {k: spark.conf.get(k, None) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        files.write_shards(rows.filter("slide = 'a'"), str(tmp_path / "x"))
+        files.write_shards(rows, str(tmp_path / "x"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r.slide: r["count"] for r in files.read_shards(spark, str(tmp_path / "x")).groupBy("slide").count().collect()} == {"a": 5, "b": 199_995}
+    assert len(list((tmp_path / "x" / "slide=b").rglob("*.parquet"))) > 1
+
+
 def test_planes_follow_their_rules(spark):
     df = spark.createDataFrame([([3.0, 4.0, 5.0],)], "p array<double>")
     r = df.select(planes.reduce_planes(F.col("p"), "mean", [2, 0, 0]).alias("m"), planes.hsv(F.lit(0.0), F.lit(0.0), F.lit(0.0), "saturation").alias("s"), planes.two_point(F.lit(5.0), F.lit(2.0), F.lit(2.0)).alias("t")).first()
